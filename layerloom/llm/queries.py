@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, mixing, pii, sentencepiece_bpe, topk_search, url_filter
+from . import chat_format, exact_dedup, language_id, mixing, ngram_join, pii, sentencepiece_bpe, topk_search, url_filter
 from .scratch import Scratch, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -33,6 +33,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_pii": op4_pii,
+    "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
     "op7_chat_format": op7_chat_format,
     "op8_topk_search": op8_topk_search,
