@@ -15,8 +15,9 @@ tie in score, are merged by the plain rule: best score first, leftmost first.
 
 from __future__ import annotations
 
+import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -24,8 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Remembered segments, pair tests and runs per worker; each store is emptied when full.
-SEGMENTS, PAIRS = 200_000, 400_000
+#: Ids, and the same in decimal with commas between.
+Part = tuple[tuple[int, ...], str]
+#: Words of late and pair tests that a worker remembers.
+WORDS, PAIRS = 200_000, 500_000
+
+
+def part(ids: Iterable[int]) -> Part:
+    ids = tuple(ids)
+    return ids, ",".join(map(str, ids))
 
 
 class PrefixTable:
@@ -51,9 +59,18 @@ class PrefixTable:
             if p.strip(MARK) or p == MARK:
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.ok: dict[int, bool] = {}
-        self.segments: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[int, tuple[int, ...]] = {}
+        self.size = {i: len(p) for i, p in self.text.items()}
+        #: For a token (-1: nothing), which tokens may follow it, as far as tested.
+        self.follows: dict[int, dict[int, bool]] = {}
+        self.tested = 0
+        #: Neighbours that no piece contains: a segment may end between them.
+        self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        #: By word, with and without a space mark before it; what was not used of late goes.
+        self.marked: dict[str, Part] = {}
+        self.bare: dict[str, Part] = {}
+        self.older: dict[bool, dict[str, Part]] = {True: {}, False: {}}
+        self.runs: dict[int, Part] = {}
+        self.feed = part([self.bytes[10]])
 
     def merged(self, text: str) -> list[int]:
         """The plain rule on a short string of known characters."""
@@ -70,46 +87,43 @@ class PrefixTable:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether ``left`` and ``right`` stay as they are side by side; left -1: whether right stands alone."""
-        key = (left + 1) * 65536 + right
-        known = self.ok.get(key)
-        if known is None:
-            if len(self.ok) >= PAIRS:
-                self.ok.clear()
-            known = self.ok[key] = (
-                self.merged(self.text[right]) == [right]
-                if left < 0
-                else self.merged(self.text[left] + self.text[right]) == [left, right]
-            )
-        return known
+        if left < 0:
+            return self.merged(self.text[right]) == [right]
+        return self.merged(self.text[left] + self.text[right]) == [left, right]
 
-    def table(self, segment: str) -> list[int]:
-        """The last token of each non-empty prefix."""
+    def segment(self, segment: str) -> list[int]:
+        """Ids of a string of known characters with a space mark at its start at most."""
+        follows = self.follows
+        if self.tested >= PAIRS:
+            follows.clear()
+            self.tested = 0
+        # The table: each prefix's last token, and beside it the tests known for that token.
         last = [-1] * (len(segment) + 1)
-        ok, compatible = self.ok, self.compatible
+        tests: list[dict[int, bool] | None] = [None] * (len(segment) + 1)
+        tests[0] = follows.setdefault(-1, {})
         for end, (size, token) in self.automaton.iter(segment):
-            if last[end + 1] >= 0:
+            end += 1
+            if tests[end] is not None:
                 continue
-            start = end + 1 - size
-            before = last[start]
-            if start and before < 0:
+            known = tests[end - size]
+            if known is None:
                 continue
-            known = ok.get((before + 1) * 65536 + token)
-            if compatible(before, token) if known is None else known:
-                last[end + 1] = token
-        return last
-
-    def segment(self, segment: str) -> list[int]:
-        """Ids of a string of known characters with a space mark at its start at most."""
-        last = self.table(segment)
-        ids, end = [], len(segment)
+            fits = known.get(token)
+            if fits is None:
+                fits = known[token] = self.compatible(last[end - size], token)
+                self.tested += 1
+            if fits:
+                last[end] = token
+                tests[end] = follows.get(token) or follows.setdefault(token, {})
+        ids, end, sizes = [], len(segment), self.size
         while end:
             token = last[end]
             ids.append(token)
-            end -= len(self.text[token])
+            end -= sizes[token]
         ids.reverse()
         return ids
 
-    def run(self, n: int) -> tuple[int, ...]:
+    def run(self, n: int) -> Part:
         """Ids of n space marks that no letter follows in a piece.
 
         All pieces of marks tie, so the leftmost mergeable pair merges first.
@@ -120,10 +134,10 @@ class PrefixTable:
         if found is None:
             if len(self.runs) >= 1000:
                 self.runs.clear()
-            found = self.runs[n] = self._run(n)
+            found = self.runs[n] = part(self._run(n))
         return found
 
-    def _run(self, n: int) -> tuple[int, ...]:
+    def _run(self, n: int) -> list[int]:
         import heapq
 
         can = {len(p): s for p, s in self.score.items() if not p.strip(MARK)}
@@ -145,63 +159,103 @@ class PrefixTable:
                 before[after[j]] = i
             offer(before[i], i)
             offer(i, after[i])
-        return tuple(self.pieces[MARK * s] for s in size if s)
+        return [self.pieces[MARK * s] for s in size if s]
+
+    def split(self, text: str) -> list[int]:
+        """Ids of a text with a space mark at its start at most: segments between characters without a piece."""
+        if self.known.issuperset(text):
+            return self.segment(text)
+        ids: list[int] = []
+        begin = 0
+        for i, c in enumerate(text):
+            if c not in self.known:
+                if i > begin:
+                    ids += self.segment(text[begin:i])
+                ids += [self.bytes[b] for b in c.encode()]
+                begin = i + 1
+        if begin < len(text):
+            ids += self.segment(text[begin:])
+        return ids
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a space mark at most and what follows it up to the next one, remembered."""
-        found = self.segments.get(word)
+    def word(self, word: str, marked: bool) -> Part:
+        """What lies between two space marks, with or without the first one; words of lines are remembered."""
+        store = self.marked if marked else self.bare
+        found = store.get(word)
+        if found is not None:
+            return found
+        found = self.older[marked].get(word)
         if found is None:
-            ids: list[int] = []
-            begin = 0
-            for i, c in enumerate(word):
-                if c not in self.known:
-                    if i > begin:
-                        ids += self.segment(word[begin:i])
-                    ids += [self.bytes[b] for b in c.encode()]
-                    begin = i + 1
-            if begin < len(word):
-                ids += self.segment(word[begin:])
-            found = tuple(ids)
-            if len(word) <= 64:
-                if len(self.segments) >= SEGMENTS:
-                    self.segments.clear()
-                self.segments[word] = found
+            found = part(self.fresh(word, marked))
+        if len(word) <= 64 and "\n" not in word:
+            if len(store) >= WORDS:
+                self.older[marked] = store
+                store = {}
+                if marked:
+                    self.marked = store
+                else:
+                    self.bare = store
+            store[word] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
+    def fresh(self, word: str, marked: bool) -> Iterable[int]:
+        line, feed, rest = word.partition("\n")
+        if feed:
+            ids = list(self.word(line, marked)[0]) if line or marked else []
+            ids.append(self.bytes[10])
+            return ids + list(self.word(rest, False)[0]) if rest else ids
+        if len(word) > 1 and word[-2:] not in self.joined:
+            return self.word(word[:-1], marked)[0] + self.word(word[-1], False)[0]
+        return self.split(MARK + word if marked else word)
+
+    def parts(self, text: str) -> list[Part]:
+        """Ids in decimal and as numbers, part by part."""
         if not text:
             return []
-        words = text.replace(" ", MARK).split(MARK)
-        out: list[tuple[int, ...]] = []
-        get, word = self.segments.get, self.word
+        text = text.replace(" ", MARK)
+        lines = text.split("\n")
+        out: list[Part | None] = []
+        marked = self.marked.get
+        free = True
+        for line in lines:
+            words = line.split(MARK)
+            if out:
+                out.append(self.feed)
+                if words[0]:
+                    out.append(self.word(words[0], False))
+                del words[0]
+            if "" in words:
+                free = False
+                break
+            at = len(out)
+            out += map(marked, words)
+            if None in out[at:]:
+                for i, w in enumerate(words, at):
+                    if out[i] is None:
+                        out[i] = self.word(w, True)
+        if free:
+            return out
+        words = text.split(MARK)
+        out = list(map(marked, words))
+        spaced: list[Part] = []
         gap = 1
-        for w in words:
+        for w, found in zip(words, out, strict=True):
             if not w:
                 gap += 1
                 continue
-            pieces = w.split("\n") if "\n" in w else (w,)
-            first = pieces[0]
-            if gap == 1 and first:
-                w = MARK + first
-                out.append(get(w) or word(w))
-            else:
-                w = MARK + first
-                ids = get(w) or word(w)
-                if ids[0] == self.pieces[MARK]:  # this mark is free to join the run before it
-                    out.append(self.run(gap))
-                    out.append(ids[1:])
-                else:
-                    if gap > 1:
-                        out.append(self.run(gap - 1))
-                    out.append(ids)
-            for p in pieces[1:]:
-                out.append((self.bytes[10],))
-                if p:
-                    out.append(get(p) or word(p))
+            found = found or self.word(w, True)
+            if gap == 1:
+                spaced.append(found)
+            elif found[0][0] != self.pieces[MARK]:
+                spaced += [self.run(gap - 1), found]
+            else:  # this mark is free to join the run before it
+                spaced += [self.run(gap), part(found[0][1:])]
             gap = 1
         if gap > 1:
-            out.append(self.run(gap - 1))
-        return list(chain.from_iterable(out))
+            spaced.append(self.run(gap - 1))
+        return [p for p in spaced if p[0]]
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable([p[0] for p in self.parts(text)]))
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -211,7 +265,12 @@ _tables: dict[str, PrefixTable] = {}
 
 
 def prefix_table(model_file: str) -> PrefixTable:
-    """One table per worker and model."""
+    """One table per worker and model.
+
+    The stores hold no cycles, so the worker's collector, which would walk all
+    of them again and again, is told to come by rarely.
+    """
+    gc.set_threshold(1_000_000, 100, 1000)
     if model_file not in _tables:
         _tables[model_file] = PrefixTable(model_file)
     return _tables[model_file]
@@ -231,16 +290,16 @@ def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", r
         table = prefix_table(model_file)
         for batch in batches:
             for begin in range(0, batch.num_rows, rows):
-                part = batch.slice(begin, rows)
-                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                some = batch.slice(begin, rows)
+                texts = some.column(some.schema.get_field_index(text_col)).to_pylist()
                 ids = [table.encode(t or "") for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *part.columns,
+                        *some.columns,
                         pa.array(ids, pa.list_(pa.int32())),
                         pa.array([table.decode(i) for i in ids], pa.string()),
                     ],
-                    names=[*part.schema.names, "ids", "decoded"],
+                    names=[*some.schema.names, "ids", "decoded"],
                 )
 
     return docs.mapInArrow(work, schema)
@@ -251,13 +310,13 @@ def encoded_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", te
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(model_file)
-        decimal = {i: str(i) for i in range(table.library.get_piece_size())}
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for value in batch.column(1):
-                ids = table.encode(value.as_py() or "")
+                parts = table.parts(value.as_py() or "")
+                ids = list(chain.from_iterable([p[0] for p in parts]))
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(table.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
