@@ -163,6 +163,7 @@ def identify(docs: DataFrame) -> DataFrame:
     Profiles come from texts whose id is not held out and whose language is
     given; predictions read the text alone.
     """
+    docs = docs.drop("held_out", "lang_pred", "score")  # columns of the caller by these names give way
     marked = docs.withColumn("held_out", held_out(F.col("doc_id")))
     profiles = learn(marked.where("not held_out").select("text", "lang"))
     return predict(marked, profiles)

@@ -284,6 +284,7 @@ def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", r
     """
     from pyspark.sql import types as T
 
+    docs = docs.drop("ids", "decoded")  # columns of the caller by these names give way
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
