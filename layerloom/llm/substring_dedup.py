@@ -27,23 +27,32 @@ from pyspark.sql import functions as F
 from .deep_shallow import repeated_spans
 from .scratch import Scratch
 
-#: Bytes of an anchor; bytes hashed at once; rows of a hash that one task sorts; parts of a range.
-GRAM, CHUNK, CROWD, SPLIT = 32, 1 << 20, 256, 8
+#: Anchors are multiples of so many bytes; bytes hashed at once; rows of a hash that one task sorts; parts of a range.
+WORD, CHUNK, CROWD, SPLIT = 32, 1 << 20, 256, 8
 M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash, above 0, of the GRAM bytes from every place on."""
-    n = len(data) - GRAM + 1
+def gram_size(length: int) -> int:
+    """Bytes of an anchor: nearly half a window, so that a short common line anchors nothing."""
+    return max(WORD, length * 48 // 100 // WORD * WORD)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash, above 0, of the ``gram`` bytes from every place on."""
+    n = len(data) - gram + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     word = np.zeros(len(data) - 7, np.uint64)
     for j in range(8):
         word |= data[j : len(data) - 7 + j].astype(np.uint64) << np.uint64(8 * j)
+    line = np.zeros(len(data) - WORD + 1, np.uint64)
+    for j in range(WORD // 8):
+        line ^= word[8 * j : 8 * j + len(line)] * M[j]
+        line = (line << np.uint64(23)) | (line >> np.uint64(41))
     h = np.zeros(n, np.uint64)
-    for j in range(GRAM // 8):
-        h ^= word[8 * j : 8 * j + n] * M[j]
-        h = (h << np.uint64(23)) | (h >> np.uint64(41))
+    for j in range(0, gram, WORD):
+        h = ((h << np.uint64(29)) | (h >> np.uint64(35))) * M[3]
+        h ^= line[j : j + n]
     h ^= h >> np.uint64(31)
     h *= M[1]
     h ^= h >> np.uint64(29)
@@ -65,8 +74,8 @@ def sliding(values: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.nda
 
 def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of anchors in documents data[starts[i] : starts[i + 1]]; windows stay inside documents."""
-    h = gram_hashes(data)
-    width = length - GRAM + 1
+    h = gram_hashes(data, gram_size(length))
+    width = length - gram_size(length) + 1
     least = sliding(h, width, np.minimum, 2**64 - 1)
     if not len(least):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -139,7 +148,7 @@ CONTEXT = "kind int, doc_id bigint, th bigint, hash bigint, c1 bigint, c2 bigint
 
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
     """Rows (doc_id, th, hashes, text): members (kind 0), classes (1) and their counts in this task (2)."""
-    before = length - GRAM
+    before = length - gram_size(length)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -270,20 +279,22 @@ def _crowded(classes: DataFrame, length: int, scratch: Scratch) -> list[DataFram
 
     found: list[DataFrame] = []
     key = ["hash", "c1", "c2"]
-    todo = classes.select(*key, "n", "l", "ctx", F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))
+    todo = classes.select(*key, "n", "l", "ctx", F.lit(0).alias("low"), F.lit(length - gram_size(length)).alias("high"))
     for turn in range(16):
         ranges = scratch.put(f"ranges{turn}", todo.mapInArrow(work, "hash bigint, c1 bigint, c2 bigint, low int, high int, first int, last int, n bigint, core bigint, span bigint"))
-        judged = scratch.put(
-            f"cores{turn}",
-            ranges.groupBy("core").agg(F.sum("n").alias("total"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("total > 1"),
-        )
-        known = ranges.join(judged, "core")
-        whole = known.where("s0 = s1").select(*key, F.array(F.struct(F.col("last").alias("l"), (F.lit(length) - F.col("first")).cast("int").alias("r"))).alias("spans"))
+        # A range whose very bytes come twice is done; one that only shares what
+        # all its windows have is cut up, against one of each that is done.
+        rid = F.xxhash64(*key)
+        spans = scratch.put(f"spans{turn}", ranges.groupBy("core", "span").agg(F.sum("n").alias("own"), F.min(rid).alias("rid")))
+        cores = spans.groupBy("core").agg(F.sum("own").alias("total"), F.min("own").alias("least")).where("total > 1").select("core", (F.col("least") == 1).alias("open"))
+        judged = scratch.put(f"cores{turn}", spans.join(cores, "core"))
+        known = ranges.join(judged, ["core", "span"])
+        whole = known.where("own > 1").select(*key, F.array(F.struct(F.col("last").alias("l"), (F.lit(length) - F.col("first")).cast("int").alias("r"))).alias("spans"))
         found.append(scratch.put(f"whole{turn}", whole))
-        mixed = scratch.put(f"mixed{turn}", known.where("s0 <> s1").select(*key, "low", "high"))
+        mixed = scratch.put(f"mixed{turn}", known.where(F.col("open") & (F.col("rid") == rid) & (F.col("low") < F.col("high"))).select(*key, F.col("own").alias("n"), "low", "high"))
         if mixed.isEmpty():
             break
-        todo = classes.select(*key, "n", "l", "ctx").join(mixed, key)
+        todo = classes.select(*key, "l", "ctx").join(mixed, key).select(*key, "n", "l", "ctx", "low", "high")
     return found
 
 
@@ -294,8 +305,8 @@ def repeated(
 
     ``th`` is a hash of the text; rows alike in id and text share their spans.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be {2 * GRAM} bytes or more")
+    if length < 2 * WORD:
+        raise ValueError(f"length must be {2 * WORD} bytes or more")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     text = F.coalesce(F.col(text_col), F.lit(""))
