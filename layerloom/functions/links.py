@@ -23,9 +23,9 @@ def lagged(spark: SparkSession, n_layers: int, period: int) -> DataFrame:
 
 
 def all_pairs(spark: SparkSession, n_layers: int) -> DataFrame:
-    later = F.explode(F.sequence(F.col("from_layer") + 1, F.lit(n_layers)))
     ids = spark.range(1, n_layers).select(F.col("id").cast("int").alias("from_layer"))
-    return ids.select("from_layer", later.cast("int").alias("to_layer"), F.lit(1.0).alias("weight"))
+    later = F.explode(F.sequence((F.col("from_layer") + 1).cast("int"), F.lit(n_layers)))
+    return ids.select("from_layer", later.alias("to_layer"), F.lit(1.0).alias("weight"))
 
 
 def custom(spark: SparkSession, links: DataFrame | list, n_layers: int) -> DataFrame:

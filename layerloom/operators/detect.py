@@ -15,6 +15,11 @@ from .graph import fallback_labels, supra_edges
 from .kernels.communities import detect
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities: both sides of a cogroup may stem from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def objective_for(algorithm: str, objective: str | None, directed: bool) -> str:
     """The quality function in force: given, else Potts for directed layers and modularity otherwise."""
     if algorithm not in ("louvain", "leiden"):
@@ -67,7 +72,7 @@ def detect_layers(
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*key, "node"]) + ", community int"
     return (
         nodes.select(*key, "node").groupBy(*key)
-        .cogroup(edges.select(*key, "src", "dst", "weight").groupBy(*key))
+        .cogroup(_fresh(edges.select(*key, "src", "dst", "weight")).groupBy(*key))
         .applyInPandas(work, schema)
     )
 
@@ -109,7 +114,7 @@ def detect_meta(
 
     kinds = dict(vertices.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*one, *where]) + ", meta_community int"
-    ids = vertices.groupBy(*one).cogroup(lines.groupBy(*one)).applyInPandas(work, schema)
+    ids = vertices.groupBy(*one).cogroup(_fresh(lines).groupBy(*one)).applyInPandas(work, schema)
     ids = ids if by else ids.drop("__all")
     return ids, membership.join(ids, [*by, *where]).select(*by, "layer", "node", "meta_community")
 
@@ -143,7 +148,7 @@ def detect_multislice(
 
     kinds = dict(v.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*one, "layer", "node"]) + ", meta_community int"
-    found = v.groupBy(*one).cogroup(lines.groupBy(*one)).applyInPandas(work, schema)
+    found = v.groupBy(*one).cogroup(_fresh(lines).groupBy(*one)).applyInPandas(work, schema)
     return found if by else found.drop("__all")
 
 
