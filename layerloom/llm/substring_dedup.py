@@ -143,26 +143,26 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(work, "doc_id bigint, th bigint, hash bigint, c bigint")
 
 
-CONTEXT = "kind int, doc_id bigint, th bigint, hash bigint, c1 bigint, c2 bigint, at array<int>, n bigint, l int, ctx binary"
+CONTEXT = "kind int, doc_id bigint, th bigint, hash bigint, c1 bigint, at array<int>, n bigint, l int, ctx binary"
 
 
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
-    """Rows (doc_id, th, hashes, text): members (kind 0), classes (1) and their counts in this task (2)."""
+    """Rows (doc_id, th, hashes, text): members (kind 0), classes (1), and what a task saw of a class after the first time (2)."""
     before = length - gram_size(length)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest
 
-        counts: dict[tuple[int, int, int], int] = {}
-        out: list[list] = [[] for _ in range(10)]
+        counts: dict[tuple[int, int], int] = {}
+        out: list[list] = [[] for _ in range(9)]
 
         def put(*row) -> None:
             for column, value in zip(out, row, strict=True):
                 column.append(value)
 
         def flush() -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.binary())
-            names = ["kind", "doc_id", "th", "hash", "c1", "c2", "at", "n", "l", "ctx"]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.binary())
+            names = ["kind", "doc_id", "th", "hash", "c1", "at", "n", "l", "ctx"]
             made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
             for column in out:
                 column.clear()
@@ -177,23 +177,24 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
                     continue
                 text = data[starts[d] : starts[d + 1]].tobytes()
                 doc_id, th = batch.column(0)[d].as_py(), batch.column(1)[d].as_py()
-                mine: dict[tuple[int, int, int], list[int]] = {}
+                mine: dict[tuple[int, int], list[int]] = {}
                 for p, h in zip(places[keep].tolist(), hashes[keep].view(np.int64).tolist(), strict=True):
                     low = max(0, p - before)
                     ctx = text[low : p + length]
-                    dig = xxh3_128_digest(ctx, p - low)
-                    key = (h, int.from_bytes(dig[:8], "little", signed=True), int.from_bytes(dig[8:], "little", signed=True))
+                    dig = xxh3_64_intdigest(ctx, p - low)
+                    key = (h, dig - 2**64 if dig >= 2**63 else dig)
                     mine.setdefault(key, []).append(p)
                     if key not in counts:
-                        counts[key] = 0
-                        put(1, None, None, *key, None, None, p - low, ctx)
+                        counts[key] = -1  # the row of the class stands for one place
+                        put(1, None, None, *key, None, 1, p - low, ctx)
                 for key, at in mine.items():
                     counts[key] += len(at)
                     put(0, doc_id, th, *key, at, len(at), None, None)
                 if len(out[0]) >= 4096:
                     yield flush()
         for key, n in counts.items():
-            put(2, None, None, *key, None, n, None, None)
+            if n:
+                put(2, None, None, *key, None, n, None, None)
             if len(out[0]) >= 4096:
                 yield flush()
         yield flush()
@@ -201,16 +202,16 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "th", "hashes", "text").mapInArrow(work, CONTEXT)
 
 
-SPANS = "hash bigint, c1 bigint, c2 bigint, spans array<struct<l:int,r:int>>"
+SPANS = "hash bigint, c1 bigint, spans array<struct<l:int,r:int>>"
 
 
 def _sorted_groups(classes: DataFrame, length: int) -> DataFrame:
     """Spans of the classes; the rows of a hash lie together in one partition, in order of the hash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: dict[tuple[int, int], list] = {}
+        group: dict[int, list] = {}
         current = None
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], []]
 
         def close() -> None:
             if not group or sum(g[0] for g in group.values()) < 2:
@@ -220,24 +221,24 @@ def _sorted_groups(classes: DataFrame, length: int) -> DataFrame:
             rights = [group[k][2][group[k][1] :] for k in keys]
             for k, spans in zip(keys, repeated_spans(lefts, rights, [group[k][0] for k in keys], length), strict=True):
                 if spans:
-                    for column, value in zip(out, (current, *k, [{"l": a, "r": b} for a, b in spans]), strict=True):
+                    for column, value in zip(out, (current, k, [{"l": a, "r": b} for a, b in spans]), strict=True):
                         column.append(value)
 
         def flush() -> pa.RecordBatch:
             kind = pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())]))
-            made = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], kind)], names=["hash", "c1", "c2", "spans"])
+            made = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:2]), pa.array(out[2], kind)], names=["hash", "c1", "spans"])
             for column in out:
                 column.clear()
             return made
 
         for batch in batches:
-            for h, c1, c2, n, l, ctx in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for h, c1, n, l, ctx in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if h != current:
                     close()
                     group.clear()
                     current = h
-                g = group.setdefault((c1, c2), [0, 0, b""])
-                g[0] += n or 0
+                g = group.setdefault(c1, [0, 0, b""])
+                g[0] += n
                 if ctx is not None:
                     g[1], g[2] = l, ctx
             if len(out[0]) >= 4096:
@@ -245,20 +246,20 @@ def _sorted_groups(classes: DataFrame, length: int) -> DataFrame:
         close()
         yield flush()
 
-    rows = classes.select("hash", "c1", "c2", "n", "l", "ctx").repartition("hash").sortWithinPartitions("hash")
+    rows = classes.select("hash", "c1", "n", "l", "ctx").repartition("hash").sortWithinPartitions("hash")
     return rows.mapInArrow(work, SPANS)
 
 
 def _crowded(classes: DataFrame, length: int, scratch: Scratch) -> list[DataFrame]:
-    """Spans of classes (hash, c1, c2, n, l, ctx), each there once, by counting windows."""
+    """Spans of classes (hash, c1, n, l, ctx), each there once, by counting windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         signed = lambda x: x - 2**64 if x >= 2**63 else x
         for batch in batches:
-            out: list[list] = [[] for _ in range(10)]
-            for h, c1, c2, n, l, ctx, low, high in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            out: list[list] = [[] for _ in range(9)]
+            for h, c1, n, l, ctx, low, high in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 # Offsets are cut at the same places in all classes, so that equal windows fall into equal ranges.
                 step = max(1, -(-(high - low + 1) // SPLIT))
                 for a in range(low, high + 1, step):
@@ -269,19 +270,19 @@ def _crowded(classes: DataFrame, length: int, scratch: Scratch) -> list[DataFram
                         continue
                     core = xxh3_64_intdigest(ctx[l - a : l + length - b], h % 2**64 ^ a * 65536 ^ b)
                     span = xxh3_64_intdigest(ctx[l - last : l + length - first], first * 65536 + last)
-                    for column, value in zip(out, (h, c1, c2, a, b, first, last, n, signed(core), signed(span)), strict=True):
+                    for column, value in zip(out, (h, c1, a, b, first, last, n, signed(core), signed(span)), strict=True):
                         column.append(value)
-            kinds = (*[pa.int64()] * 3, *[pa.int32()] * 4, *[pa.int64()] * 3)
+            kinds = (*[pa.int64()] * 2, *[pa.int32()] * 4, *[pa.int64()] * 3)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                names=["hash", "c1", "c2", "low", "high", "first", "last", "n", "core", "span"],
+                names=["hash", "c1", "low", "high", "first", "last", "n", "core", "span"],
             )
 
     found: list[DataFrame] = []
-    key = ["hash", "c1", "c2"]
+    key = ["hash", "c1"]
     todo = classes.select(*key, "n", "l", "ctx", F.lit(0).alias("low"), F.lit(length - gram_size(length)).alias("high"))
     for turn in range(16):
-        ranges = scratch.put(f"ranges{turn}", todo.mapInArrow(work, "hash bigint, c1 bigint, c2 bigint, low int, high int, first int, last int, n bigint, core bigint, span bigint"))
+        ranges = scratch.put(f"ranges{turn}", todo.mapInArrow(work, "hash bigint, c1 bigint, low int, high int, first int, last int, n bigint, core bigint, span bigint"))
         # A range whose very bytes come twice is done; one that only shares what
         # all its windows have is cut up, against one of each that is done.
         rid = F.xxhash64(*key)
@@ -301,7 +302,7 @@ def _crowded(classes: DataFrame, length: int, scratch: Scratch) -> list[DataFram
 def repeated(
     docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans): doc_id, th, text, and for (doc_id, th) the spans lo, hi (bytes, hi exclusive) to remove.
+    """(documents, spans): doc_id, th, text, and for (doc_id, th) found, the spans (lo, hi) of bytes to remove, hi exclusive.
 
     ``th`` is a hash of the text; rows alike in id and text share their spans.
     """
@@ -323,15 +324,15 @@ def repeated(
     rows = scratch.put("contexts", _contexts(long_enough.join(wanted, same(long_enough, "w")), length))
     scratch.drop("wanted")
 
-    classes = rows.where("kind > 0").select("hash", "c1", "c2", "n", "l", "ctx")
+    classes = rows.where("kind > 0").select("hash", "c1", "n", "l", "ctx")
     crowds = scratch.put("crowds", rows.where("kind = 1").groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD).select("hash"))
-    key = ["hash", "c1", "c2"]
+    key = ["hash", "c1"]
     if crowds.isEmpty():
         found = [scratch.put("sorted", _sorted_groups(classes, length))]
     else:
         found = [scratch.put("sorted", _sorted_groups(classes.join(crowds, "hash", "left_anti"), length))]
         inside = classes.join(crowds, "hash", "left_semi")
-        counted = inside.where("n is not null").groupBy(*key).agg(F.sum("n").alias("n"))
+        counted = inside.groupBy(*key).agg(F.sum("n").alias("n"))
         shown = inside.where("ctx is not null").groupBy(*key).agg(F.first("l").alias("l"), F.first("ctx").alias("ctx"))
         once = scratch.put("once", counted.join(shown, key))
         found += _crowded(once, length, scratch)
@@ -344,8 +345,8 @@ def repeated(
         "cut",
         members.join(spans, key)
         .select("doc_id", "th", F.explode("at").alias("p"), "l", "r")
-        .select("doc_id", "th", (F.col("p") - F.col("l")).alias("lo"), (F.col("p") + F.col("r")).alias("hi"))
-        .distinct(),
+        .groupBy("doc_id", "th")
+        .agg(F.collect_set(F.struct((F.col("p") - F.col("l")).alias("lo"), (F.col("p") + F.col("r")).alias("hi"))).alias("found")),
     )
     scratch.drop("contexts", "sorted", "spans")
     return docs, cut
@@ -359,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     repeat may start or end inside a character.
     """
     docs, cut = repeated(docs, length, id_col, text_col)
-    gathered = cut.groupBy(F.col("doc_id").alias("sid"), F.col("th").alias("sth")).agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    gathered = cut.select(F.col("doc_id").alias("sid"), F.col("th").alias("sth"), "found")
     joined = docs.join(gathered, docs["doc_id"].eqNullSafe(F.col("sid")) & (docs["th"] == F.col("sth")), "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
