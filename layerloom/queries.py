@@ -551,15 +551,15 @@ def comembership_histogram(spark, d):
 
 # Study tables.
 
-RUNS = f"""runs AS (SELECT p_partkey AS run, p_brand AS method, p_size % 5 AS p_switch, round({u(3, "'nmi'", "p_partkey")}, 6) AS nmi, round({u(3, "'gap'", "p_partkey")}, 3) AS gap,
-  round(2 * {u(3, "'wk'", "p_partkey")}, 6) AS width_k, round(0.1 * {u(3, "'wp'", "p_partkey")}, 6) AS width_p, round({u(3, "'cov'", "p_partkey")}, 6) AS coverage FROM part)"""
+RUNS = f"""runs AS (SELECT p_partkey AS run, p_brand AS method, p_size % 5 AS p_switch, {u(3, "'nmi'", "p_partkey")} AS nmi, round({u(3, "'gap'", "p_partkey")}, 3) AS gap,
+  2 * {u(3, "'wk'", "p_partkey")} AS width_k, 0.1::DOUBLE * {u(3, "'wp'", "p_partkey")} AS width_p, {u(3, "'cov'", "p_partkey")} AS coverage FROM part)"""
 
 
 def runs(spark, d):
     v = lambda name: uniform(3, name, F.col("p_partkey"))
     return spark.read.parquet(f"{d}/part.parquet").select(
-        F.col("p_partkey").alias("run"), F.col("p_brand").alias("method"), (F.col("p_size") % 5).alias("p_switch"), F.round(v("nmi"), 6).alias("nmi"), F.round(v("gap"), 3).alias("gap"),
-        F.round(2 * v("wk"), 6).alias("width_k"), F.round(0.1 * v("wp"), 6).alias("width_p"), F.round(v("cov"), 6).alias("coverage"),
+        F.col("p_partkey").alias("run"), F.col("p_brand").alias("method"), (F.col("p_size") % 5).alias("p_switch"), v("nmi").alias("nmi"), F.round(v("gap"), 3).alias("gap"),
+        (2 * v("wk")).alias("width_k"), (0.1 * v("wp")).alias("width_p"), v("cov").alias("coverage"),
     )
 
 
