@@ -198,13 +198,19 @@ class PrefixTable:
         return found
 
     def fresh(self, word: str, marked: bool) -> Iterable[int]:
-        line, feed, rest = word.partition("\n")
-        if feed:
-            ids = list(self.word(line, marked)[0]) if line or marked else []
-            ids.append(self.bytes[10])
-            return ids + list(self.word(rest, False)[0]) if rest else ids
-        if len(word) > 1 and word[-2:] not in self.joined:
-            return self.word(word[:-1], marked)[0] + self.word(word[-1], False)[0]
+        if "\n" in word:
+            ids: list[int] = []
+            for k, line in enumerate(word.split("\n")):
+                if k:
+                    ids.append(self.bytes[10])
+                if line or marked and not k:
+                    ids += self.word(line, marked and not k)[0]
+            return ids
+        joined = self.joined
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
+        if cuts:
+            ends = zip([0, *cuts], [*cuts, len(word)], strict=True)
+            return chain.from_iterable([self.word(word[i:j], marked and not i)[0] for i, j in ends])
         return self.split(MARK + word if marked else word)
 
     def parts(self, text: str) -> list[Part]:
