@@ -106,6 +106,7 @@ def dedup(
     # Read back from files, so that both sides of the join are exchanged and a
     # hot digest can be split at run time.
     verdict = scratch.put("verdict", old)
+    scratch.drop("groups", "fresh")
     return staged.join(verdict, "digest").select(
         "doc_id",
         "keep_id",
@@ -129,7 +130,9 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     aggregation, so that texts otherwise move once.
     """
     spark = docs.sparkSession
-    decided = dedup(docs, fresh_index(spark))
+    index = fresh_index(spark)
+    decided = dedup(docs, index)
+    index.drop()
     stay = Scratch(spark, "exact-stay").put(
         "stay",
         decided.groupBy(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 #: Symbols: 0 stands for any run of non-letters, 1-26 for a-z, the others for further letters by code point.
 SYMBOLS, DIM, SEED, CHUNK = 48, 1024, 20, 1 << 20
 #: Profiles go to every worker: 8 KB each.
@@ -115,10 +117,11 @@ def learn(texts: DataFrame) -> dict[str, np.ndarray]:
 
     parts = texts.where("text is not null and lang is not null").mapInArrow(work, "lang string, v array<bigint>")
     summed = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
+    summed = Scratch(texts.sparkSession, "language").put("profiles", summed)
     if (n := summed.where("k = 0").count()) > MOST_LANGUAGES:
         raise ValueError(f"{n} languages: profiles would outgrow the workers")
     found: dict[str, np.ndarray] = {}
-    for r in summed.toLocalIterator():
+    for r in summed.collect():  # DIM rows per language
         found.setdefault(r["lang"], np.zeros(DIM))[r["k"]] = r["x"]
     return found
 

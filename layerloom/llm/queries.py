@@ -99,7 +99,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return exact_dedup.dedup(docs, exact_dedup.fresh_index(spark)).drop("row_tag")
+    index = exact_dedup.fresh_index(spark)
+    decided = exact_dedup.dedup(docs, index).drop("row_tag")
+    index.drop()  # the result reads its own tables
+    return decided
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -28,7 +28,7 @@ MARK = "▁"
 #: Ids, and the same in decimal with commas between.
 Part = tuple[tuple[int, ...], str]
 #: Words of late and pair tests that a worker remembers.
-WORDS, PAIRS = 200_000, 500_000
+WORDS, PAIRS = 60_000, 300_000
 
 
 def part(ids: Iterable[int]) -> Part:

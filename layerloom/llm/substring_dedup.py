@@ -283,6 +283,8 @@ def _crowded(classes: DataFrame, length: int, scratch: Scratch) -> list[DataFram
     todo = classes.select(*key, "n", "l", "ctx", F.lit(0).alias("low"), F.lit(length - gram_size(length)).alias("high"))
     for turn in range(16):
         ranges = scratch.put(f"ranges{turn}", todo.mapInArrow(work, "hash bigint, c1 bigint, low int, high int, first int, last int, n bigint, core bigint, span bigint"))
+        if turn:
+            scratch.drop(f"mixed{turn - 1}")
         # A range whose very bytes come twice is done; one that only shares what
         # all its windows have is cut up, against one of each that is done.
         rid = F.xxhash64(*key)
@@ -293,6 +295,7 @@ def _crowded(classes: DataFrame, length: int, scratch: Scratch) -> list[DataFram
         whole = known.where("own > 1").select(*key, F.array(F.struct(F.col("last").alias("l"), (F.lit(length) - F.col("first")).cast("int").alias("r"))).alias("spans"))
         found.append(scratch.put(f"whole{turn}", whole))
         mixed = scratch.put(f"mixed{turn}", known.where(F.col("open") & (F.col("rid") == rid) & (F.col("low") < F.col("high"))).select(*key, F.col("own").alias("n"), "low", "high"))
+        scratch.drop(f"ranges{turn}", f"spans{turn}", f"cores{turn}")
         if mixed.isEmpty():
             break
         todo = classes.select(*key, "l", "ctx").join(mixed, key).select(*key, "n", "l", "ctx", "low", "high")
@@ -340,6 +343,7 @@ def repeated(
     for more in found[1:]:
         spans = spans.unionByName(more)
     spans = scratch.put("spans", spans.select(*key, F.explode("spans").alias("s")).select(*key, "s.l", "s.r").distinct())
+    scratch.drop("sorted", "once", *[f"whole{turn}" for turn in range(len(found) - 1)])
     members = rows.where("kind = 0").select("doc_id", "th", *key, "at")
     cut = scratch.put(
         "cut",
@@ -348,7 +352,7 @@ def repeated(
         .groupBy("doc_id", "th")
         .agg(F.collect_set(F.struct((F.col("p") - F.col("l")).alias("lo"), (F.col("p") + F.col("r")).alias("hi"))).alias("found")),
     )
-    scratch.drop("contexts", "sorted", "spans")
+    scratch.drop("contexts", "crowds", "spans")
     return docs, cut
 
 

@@ -100,6 +100,8 @@ def test_linked_sets_share_a_signature():
             if y and 100 * len(x & y) >= percent * len(x | y):
                 a, b = (set(ngram_join.signatures(np.unique(np.array(list(s), np.uint64)), percent).tolist()) for s in (x, y))
                 assert a & b
+                a, b = (set(ngram_join.signatures(np.unique(np.array(list(s), np.uint64)), percent, 1e-12).tolist()) for s in (x, y))
+                assert a & b
 
 
 def test_divide_skip_finds_all_that_reach_the_overlap():
