@@ -181,6 +181,25 @@ def test_templates_learn_from_rules(spark):
     assert got[0].template == "/fr/a{n}" and got[0].purity > 0.8
 
 
+@pytest.mark.parametrize("sections, pages", [(60, 20), (40, 30)])
+def test_small_sections_do_not_share_a_verdict(spark, sections, pages):
+    names = [f"{a}{b}" for a in "abcdefgh" for b in "tuvwxyzo"][:sections]
+    urls = [f"http://h.net/{s}/p{i}" for s in names for i in range(pages)] + [f"http://h.net/fr/p{i}" for i in range(23)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.filter_urls(df, URL_RULES).collect()
+    assert {r.verdict for r in got if r.page_id < sections * pages} == {"allow"}
+    assert {r.verdict for r in got if r.page_id >= sections * pages} == {"block"}
+    assert not {r.template for r in got if r.path.startswith("/fr/")} & {r.template for r in got if not r.path.startswith("/fr/")}
+
+
+def test_few_labels_do_not_block_a_template(spark):
+    rules = [("h.net", "/x/p1", "block"), ("h.net", "/y/*", "block")]
+    urls = ["http://h.net/x/p1"] + [f"http://h.net/x/p{i}" for i in range(20, 60)] + ["http://h.net/y/*", "http://h.net/y/a", "http://h.net/z/q"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.path: r.verdict for r in url_filter.filter_urls(df, rules).collect()}
+    assert {p for p, v in got.items() if v == "block"} == {"/x/p1", "/y/*"}
+
+
 @pytest.mark.parametrize("name", ["op7_chat_format", "op10_exact_dedup", "op8_topk_search"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
