@@ -192,6 +192,13 @@ def test_small_sections_do_not_share_a_verdict(spark, sections, pages):
     assert not {r.template for r in got if r.path.startswith("/fr/")} & {r.template for r in got if not r.path.startswith("/fr/")}
 
 
+def test_rules_below_the_fourth_segment_label_their_own_template(spark):
+    urls = [f"http://x.net/a/b/c/d/bad/p{i}" for i in range(40)] + ["http://x.net/a/b/c/d/good/p1", "http://x.net/a/b/c/d/good/p2", "http://x.net/a/b/c/d/bad"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.filter_urls(df, [("x.net", "/a/b/c/d/bad/", "block")]).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == set(range(40))
+
+
 def test_few_labels_do_not_block_a_template(spark):
     rules = [("h.net", "/x/p1", "block"), ("h.net", "/y/*", "block")]
     urls = ["http://h.net/x/p1"] + [f"http://h.net/x/p{i}" for i in range(20, 60)] + ["http://h.net/y/*", "http://h.net/y/a", "http://h.net/z/q"]
