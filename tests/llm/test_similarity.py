@@ -64,11 +64,10 @@ def families(seed, words=300):
 
 
 @pytest.mark.parametrize(("width", "percent", "group"), [(3, 90, 256), (3, 90, 8), (5, 80, 12)])
-def test_components_equal_brute_force(spark, monkeypatch, width, percent, group):
-    monkeypatch.setattr(ngram_join, "GROUP", group)
+def test_components_equal_brute_force(spark, width, percent, group):
     rows = families(width * percent + group)
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, digest string").repartition(4)
-    got = ngram_join.join_components(df, width, percent).collect()
+    got = ngram_join.join_components(df, width, percent, group=group).collect()
     assert len(got) == len(rows)
     want = brute_components(rows, width, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
