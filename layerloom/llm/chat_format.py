@@ -49,15 +49,19 @@ def text_parts(text: Column) -> Column:
     )
 
 
+def kind_of(part: Column) -> Column:
+    return F.coalesce(part["type"], F.lit("unknown"))
+
+
 def attachments(parts: Column) -> Column:
     """The parts that are no text, in order, with references and token counts."""
     default = F.lit(0).cast("bigint")
-    media = F.filter(parts, lambda p: p["type"] != "text")
+    media = F.filter(parts, lambda p: kind_of(p) != "text")
     return F.transform(
         media,
         lambda p, i: F.struct(
             (i + 1).cast("bigint").alias("position"),
-            p["type"].alias("type"),
+            kind_of(p).alias("type"),
             p["ref"].alias("ref"),
             F.coalesce(
                 p["tokens"],
@@ -69,21 +73,24 @@ def attachments(parts: Column) -> Column:
 
 
 def visit(parts: Column) -> Column:
-    """Flatten parts: escaped texts and ``<|type:k|>`` for the k-th attachment of the turn."""
-    types = F.transform(parts, lambda p: p["type"])
-    pieces = F.transform(
-        parts,
-        lambda p, i: F.when(p["type"] == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-            F.concat(
-                F.lit("<|"),
-                escape(F.coalesce(p["type"], F.lit("unknown"))),
-                F.lit(":"),
-                F.size(F.filter(F.slice(types, F.lit(1), i + 1), lambda t: t != "text")).cast("string"),
-                F.lit("|>"),
-            )
-        ),
-    )
-    return F.array_join(pieces, "")
+    """Flatten parts: escaped texts and ``<|type:k|>`` for the k-th attachment of the turn.
+
+    Texts between two attachments are joined before they are escaped, so that
+    no mark can be put together from neighbouring parts.  A null part or a part
+    without type is an attachment of type ``unknown``.
+    """
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("text"), F.lit(0).alias("k"))
+
+    def step(a: Column, p: Column) -> Column:
+        is_text = kind_of(p) == "text"
+        mark = F.concat(F.lit("<|"), escape(kind_of(p)), F.lit(":"), (a["k"] + 1).cast("string"), F.lit("|>"))
+        return F.struct(
+            F.when(is_text, a["done"]).otherwise(F.concat(a["done"], escape(a["text"]), mark)).alias("done"),
+            F.when(is_text, F.concat(a["text"], F.coalesce(p["text"], F.lit("")))).otherwise(F.lit("")).alias("text"),
+            (a["k"] + F.when(is_text, 0).otherwise(1)).alias("k"),
+        )
+
+    return F.aggregate(parts, start, step, lambda a: F.concat(a["done"], escape(a["text"])))
 
 
 def format_chats(
