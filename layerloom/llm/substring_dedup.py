@@ -307,6 +307,9 @@ def repeated(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): doc_id, th, text, and for (doc_id, th) found, the spans (lo, hi) of bytes to remove, hi exclusive.
 
+    Documents without a repeat have null or no spans; n_echoes counts a
+    document's different anchors that stand elsewhere too.
+
     ``th`` is a hash of the text; rows alike in id and text share their spans.
     """
     if length < 2 * WORD:
@@ -322,6 +325,7 @@ def repeated(
         "wanted",
         places.join(often, "hash").groupBy(F.col("doc_id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_set("hash").alias("hashes")),
     )
+    echoes = scratch.put("echoes", wanted.select("wid", "wth", F.size("hashes").cast("bigint").alias("n_echoes")))
     scratch.drop("places", "often")
     same = lambda a, b: a["doc_id"].eqNullSafe(F.col(f"{b}id")) & (a["th"] == F.col(f"{b}th"))
     rows = scratch.put("contexts", _contexts(long_enough.join(wanted, same(long_enough, "w")), length))
@@ -353,18 +357,25 @@ def repeated(
         .agg(F.collect_set(F.struct((F.col("p") - F.col("l")).alias("lo"), (F.col("p") + F.col("r")).alias("hi"))).alias("found")),
     )
     scratch.drop("contexts", "crowds", "spans")
-    return docs, cut
+    same_doc = F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))
+    found = scratch.put("found", echoes.join(cut, same_doc, "left").select(F.col("wid").alias("doc_id"), F.col("wth").alias("th"), "found", "n_echoes"))
+    scratch.drop("cut", "echoes")
+    return docs, found
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary: what is left), spans (array of lo, hi).
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary: what is left), spans (array of lo, hi), n_echoes.
+
+    ``n_echoes`` counts the document's different anchors (strings of
+    ``gram_size(length)`` bytes) that occur again, which also tells of most
+    repeats that are somewhat shorter than ``length`` and stay.
 
     Null text counts as empty; texts shorter than ``length`` bytes are left
     alone; repeated rows repeat each other.  ``kept`` can be invalid UTF-8, as a
     repeat may start or end inside a character.
     """
     docs, cut = repeated(docs, length, id_col, text_col)
-    gathered = cut.select(F.col("doc_id").alias("sid"), F.col("th").alias("sth"), "found")
+    gathered = cut.select(F.col("doc_id").alias("sid"), F.col("th").alias("sth"), "found", "n_echoes")
     joined = docs.join(gathered, docs["doc_id"].eqNullSafe(F.col("sid")) & (docs["th"] == F.col("sth")), "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,10 +401,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                     for column, value in zip(out, (len(data), len(data) - len(left), len(merged), left, [{"lo": a, "hi": b} for a, b in merged]), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary()), pa.array(out[4], kind)],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
+                    [part.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary()), pa.array(out[4], kind), part.column(3)],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", "n_echoes"],
                 )
 
-    return joined.select("doc_id", "text", "found").mapInArrow(
-        work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<lo:int,hi:int>>"
+    return joined.select("doc_id", "text", "found", F.coalesce("n_echoes", F.lit(0).cast("bigint")).alias("n_echoes")).mapInArrow(
+        work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<lo:int,hi:int>>, n_echoes bigint"
     )
