@@ -1,8 +1,11 @@
 """Exact dedup against a persistent digest index, bucketed and sorted by digest.
 
 New data is reduced to one row per digest, anti-joined with the index by a
-sort-merge join, and appended.  The index side needs no shuffle or sort, being
-bucketed and sorted by the join key; only the (small) new side moves.
+sort-merge join, and appended.  The index side needs no shuffle, being bucketed
+by the join key; a bucket of several files is sorted again as it is read.  What a
+batch adds to texts that the index holds goes to a second table of the same
+layout, so counts add up.  A batch is named; one that runs again, after a crash
+or by mistake, finds its rows there, adds none and gives the same verdict.
 """
 
 from __future__ import annotations
@@ -14,11 +17,11 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-INDEX_DDL = "digest BINARY, keep_id BIGINT, n BIGINT"
+INDEX_DDL = "digest BINARY, keep_id BIGINT, n BIGINT, batch STRING"
 
 
 class DigestIndex:
-    """A table (digest, keep_id, n) that outlives a session when given a ``path``.
+    """A table (digest, keep_id, n, batch) that outlives a session when given a ``path``.
 
     ``path`` is a folder all executors share; without one the table lives in
     the warehouse.  ``buckets`` is fixed when the index is created.
@@ -26,34 +29,50 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int = 64):
         self.spark, self.name = spark, name
-        place = f" LOCATION '{path}'" if path else ""
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} ({INDEX_DDL}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS{place}"
-        )
+        self.counts = f"{name}_counts"
+        for table, suffix in ((name, ""), (self.counts, "_counts")):
+            place = f" LOCATION '{path}{suffix}'" if path else ""
+            spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {table} ({INDEX_DDL}) USING parquet "
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS{place}"
+            )
         self.buckets = buckets
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def new_groups(self, groups: DataFrame) -> DataFrame:
-        """Rows of ``groups`` whose digest the index does not hold."""
-        return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+    def before(self, batch: str = "") -> DataFrame:
+        """The digests that other batches than ``batch`` brought."""
+        return self.read().where(F.col("batch") != batch)
+
+    def counted(self, batch: str) -> DataFrame:
+        """(digest, held_id, held): the staying ids and the rows of all other batches."""
+        more = self.spark.table(self.counts).where(F.col("batch") != batch).withColumn("keep_id", F.lit(None).cast("bigint"))
+        return self.before(batch).unionByName(more).groupBy("digest").agg(F.max("keep_id").alias("held_id"), F.sum("n").alias("held"))
 
-    def append(self, groups: DataFrame) -> None:
+    def new_groups(self, groups: DataFrame, batch: str = "") -> DataFrame:
+        """Rows of ``groups`` whose digest no other batch holds."""
+        return groups.join(self.before(batch).select("digest").hint("merge"), "digest", "left_anti")
+
+    def append(self, groups: DataFrame, batch: str, known: bool = False) -> None:
+        """Adds a batch's groups, new ones or what it has of known ones, once: Spark commits an append's files together."""
+        table = self.counts if known else self.name
+        if not self.spark.table(table).where(F.col("batch") == batch).isEmpty():
+            return
         (
-            groups.select("digest", "keep_id", "n")
+            groups.select("digest", "keep_id", "n", F.lit(batch).alias("batch"))
             .repartition(self.buckets, "digest")
             .write.mode("append")
             .format("parquet")
             .bucketBy(self.buckets, "digest")
             .sortBy("digest")
-            .saveAsTable(self.name)
+            .saveAsTable(table)
         )
-        self.spark.catalog.refreshTable(self.name)
+        self.spark.catalog.refreshTable(table)
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for table in (self.name, self.counts):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def digest_of(text: Column) -> Column:
@@ -67,13 +86,16 @@ def dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     scratch: Scratch | None = None,
+    batch: str | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, plus ``row_tag``.
 
     Of equal texts the row with the largest id stays; a row with a null id
     stays only where every id of its group is null.  Rows that repeat the
     winning id and text count as copies: one of them stays.  A text that the
-    index held before keeps the indexed id and drops every new row.
+    index held before keeps the indexed id and drops every new row; group_size
+    counts the rows of all batches so far.  ``batch`` names the input: the same
+    name again changes nothing and gives the same result.
     An empty input gives an empty result.  Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -90,23 +112,19 @@ def dedup(
             F.max(F.struct("doc_id", "row_tag")).alias("top"), F.count(F.lit(1)).alias("n")
         ).select("digest", F.col("top.doc_id").alias("keep_id"), "n", F.col("top.row_tag").alias("keep_tag")),
     )
-    fresh = scratch.put("fresh", index.new_groups(groups))
-    index.append(fresh)
+    batch = batch or uuid.uuid4().hex
+    fresh = index.new_groups(groups, batch).select("digest", "keep_id", F.col("n").alias("group_size"), "keep_tag", "n")
     old = (
-        groups.select("digest", F.col("n").alias("here"))
-        .join(index.read(), "digest")
-        .join(fresh.select("digest", "keep_tag"), "digest", "left")
-        .select(
-            "digest",
-            "keep_id",
-            F.when(F.col("keep_tag").isNull(), F.col("n") + F.col("here")).otherwise(F.col("n")).alias("group_size"),
-            "keep_tag",
-        )
+        groups.join(index.counted(batch).hint("merge"), "digest")
+        .select("digest", F.col("held_id").alias("keep_id"), (F.col("held") + F.col("n")).alias("group_size"), F.lit(None).cast("bigint").alias("keep_tag"), "n")
     )
     # Read back from files, so that both sides of the join are exchanged and a
     # hot digest can be split at run time.
-    verdict = scratch.put("verdict", old)
-    scratch.drop("groups", "fresh")
+    verdict = scratch.put("verdict", fresh.unionByName(old))
+    index.append(verdict.where("group_size = n"), batch)
+    index.append(verdict.where("group_size > n"), batch, known=True)
+    verdict = verdict.drop("n")
+    scratch.drop("groups")
     return staged.join(verdict, "digest").select(
         "doc_id",
         "keep_id",

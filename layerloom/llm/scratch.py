@@ -7,6 +7,7 @@ executor and the driver see the same folder.  Tables are ordinary Parquet.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by the session; a temporary one only where none is set (tests)."""
+    """The folder named by the session; a temporary one only where none is set and one machine runs all (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='layerloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
