@@ -28,3 +28,13 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def released(request):
+    """Tables that a test's plans keep would fill the small session that all tests share."""
+    yield
+    if "spark" in request.fixturenames:
+        session = request.getfixturevalue("spark")
+        session.catalog.clearCache()
+        session.sparkContext._jvm.System.gc()
