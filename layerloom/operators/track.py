@@ -12,18 +12,30 @@ from .metrics import adjacent, contingency
 METHODS = ("optimal", "greedy", "reuse")
 
 
+def overlapping_matching(score: list[list[float]]) -> list[tuple[int, int]]:
+    """Rows by descending best score, each with its best column among those not taken, at a positive score only."""
+    pairs: list[tuple[int, int]] = []
+    free = set(range(len(score[0])))
+    for i in sorted(range(len(score)), key=lambda i: (-max(score[i]), i)):
+        j = min(free, key=lambda j: (-score[i][j], j), default=None)
+        if j is not None and score[i][j] > 0:
+            pairs.append((i, j))
+            free.remove(j)
+    return pairs
+
+
 def relabel_step(now: list[int], before: dict[int, int], overlap: dict[tuple[int, int], int], fresh: int, method: str) -> tuple[dict[int, int], int]:
     """Labels for the communities ``now``, given the labels of those before and the common nodes (before, now).
 
     ``optimal`` and ``greedy`` never use a label again once its community is
-    gone; ``reuse`` matches by remaining overlap and takes the next label above
-    those in use.
+    gone; ``reuse`` goes through the communities by their best overlap, gives each
+    the free label it overlaps most, if any, and else the next above those in use.
     """
     old = sorted(before, key=lambda c: before[c])  # equal scores go to the smallest label
     score = [[float(overlap.get((o, c), 0)) for o in old] for c in now]
     named: dict[int, int] = {}
     if old and now:
-        pairs = best_matching(score) if method == "optimal" else greedy_matching(score)
+        pairs = best_matching(score) if method == "optimal" else greedy_matching(score) if method == "greedy" else overlapping_matching(score)
         named = {now[i]: before[old[j]] for i, j in pairs if score[i][j] > 0}
     for c in now:
         if c not in named:

@@ -304,3 +304,10 @@ def test_stream_follows_communities(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() == 18
     assert got.groupBy("node").agg(F.count_distinct("meta_community").alias("k")).agg(F.max("k")).first()[0] == 1
+
+
+def test_reuse_takes_labels_at_positive_overlap_only():
+    from layerloom.operators.track import relabel_step
+
+    overlap = {(0, 0): 5, (0, 1): 4, (1, 2): 3}
+    assert relabel_step([0, 1, 2], {0: 1, 1: 2}, overlap, 3, "reuse")[0] == {0: 1, 2: 2, 1: 3}
