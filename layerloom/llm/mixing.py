@@ -1,15 +1,18 @@
 """Mixing sources to target weights by entropy balancing, in built-in operations only.
 
-Word weights w start at the sizes and stay as near to them in relative entropy
-as the word totals of the sources allow.  The dual of that problem is smooth
-and convex with one multiplier per source, its optimum tilts every document's
-rate exponentially, and Newton steps over the aggregated sizes find it.  Rates
+Document rates stay as near to one in relative entropy as the word totals of
+the sources and the bound on a rate allow.  The dual of that problem is convex
+with one multiplier per source; its optimum gives a document of ``size`` words
+the rate exp(tilt * size), cut at the bound.  Newton steps inside a bracket find
+the multipliers, each step one aggregate over the (source, size) classes.  Rates
 are then rounded into whole copies by systematic rounding along the sizes of a
 source, which keeps each total within about one document of its target.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +22,10 @@ from .scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash buckets that split one (source, size) class while its rows are numbered.
 CLASS_BUCKETS = 1024
+#: Rates are rounded in whole parts of this unit, so that running totals are exact in any order.
+UNIT = 10**9
+#: Sums of the dual are taken in decimals for the same reason.
+EXACT = "decimal(38,12)"
 
 
 def word_count(text: Column) -> Column:
@@ -61,36 +68,63 @@ def source_targets(
     )
 
 
-def solve_dual(classes: DataFrame, targets: DataFrame, scratch: Scratch, tolerance: float = 1e-9, steps: int = 50) -> DataFrame:
-    """Multipliers (no_source, source, tilt): Newton on f = sum size*n*exp(tilt) - target*tilt.
-
-    Gradient and curvature are sums over the (source, size) classes, taken in
-    Spark at every step; only the largest relative gradient reaches the driver.
-    Sources without words or target get a null tilt.
+def solve_dual(
+    classes: DataFrame, targets: DataFrame, scratch: Scratch, most: float = 2.0, tolerance: float = 1e-9, steps: int = 100
+) -> DataFrame:
+    """Multipliers (no_source, source, tilt, steps) at which the rates min(most, exp(tilt * size)) meet the targets.
+
+    Minimises sum n*phi(tilt*size) - target*tilt, where phi' is the rate.  With
+    S the source's size and s its smallest document, the optimum lies between 0
+    and ln(target / S) / s; a Newton step that leaves what is left of this
+    bracket is replaced by its middle.  Only the largest relative gradient
+    reaches the driver.  Sources without words or target have no row; an
+    exhausted ``steps`` is an error.
     """
     keys = ["no_source", "source"]
-    tilt = targets.select(
-        *keys,
-        "target",
-        # From here the first step lands near the optimum, as the curve is an exponential.
-        F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.ln(F.col("target") / F.col("source_size"))).alias("tilt"),
+    size, n = F.col("size").cast("double"), F.col("n").cast("double")
+    total = lambda x: F.sum(x.cast(EXACT)).cast("double")
+    edge = F.ln(F.col("target") / F.col("source_size")) / F.col("least")
+    start = F.ln(F.col("target") / F.col("source_size")) * F.col("source_size") / F.col("square")
+    extent = classes.where("size > 0").groupBy(*keys).agg(F.min("size").alias("least"), total(n * size * size).alias("square"))
+    state = scratch.put(
+        "tilt0",
+        targets.where("source_size > 0 and target > 0").join(extent, keys).select(
+            *keys,
+            "target",
+            (F.col("source_size") / F.col("square")).alias("scale"),
+            F.least(F.lit(0.0), edge).alias("low"),
+            F.greatest(F.lit(0.0), edge).alias("high"),
+            start.alias("tilt"),
+        ),
     )
     for step in range(steps):
-        now = scratch.put(f"tilt{step}", tilt)
-        moment = F.sum(F.col("size") * F.col("n") * F.exp("tilt"))
+        bent = F.col("tilt") * size
+        capped = bent >= math.log(most)
+        rate = F.exp(F.least(bent, F.lit(math.log(most))))
         graded = (
-            classes.join(now.where("tilt is not null"), keys)
-            .groupBy(*keys, "target", "tilt")
-            .agg(moment.alias("curve"))
-            .withColumn("slope", F.col("curve") - F.col("target"))
+            classes.where("size > 0")
+            .join(state, keys)
+            .groupBy(*keys, "target", "scale", "low", "high", "tilt")
+            .agg(
+                total(n * size * rate).alias("taken"),
+                # In units of the source's typical size, lest squares of long texts pass the decimals.
+                total(F.when(capped, 0.0).otherwise(n * size * rate * size * F.col("scale"))).alias("curve"),
+            )
+            .withColumn("slope", F.col("taken") - F.col("target"))
+            .withColumn("low", F.when(F.col("slope") < 0, F.col("tilt")).otherwise(F.col("low")))
+            .withColumn("high", F.when(F.col("slope") > 0, F.col("tilt")).otherwise(F.col("high")))
+            .withColumn("newton", F.when(F.col("curve") > 0, F.col("tilt") - F.col("slope") * F.col("scale") / F.nullif("curve", F.lit(0.0))))
+            .withColumn("off", F.abs(F.col("slope")) / F.col("target"))
+            .withColumn("done", F.col("off") <= tolerance)
         )
-        graded = scratch.put(f"grade{step}", graded)
-        worst = graded.agg(F.max(F.abs(F.col("slope")) / F.col("target"))).first()[0]
+        inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
+        moved = F.when(F.col("done"), F.col("tilt")).when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
+        state = scratch.put(f"tilt{step + 1}", graded.select(*keys, "target", "scale", "low", "high", moved.alias("tilt"), "off"))
+        worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
-            return now
-        moved = graded.select(*keys, (F.col("tilt") - F.col("slope") / F.col("curve")).alias("moved"))
-        tilt = now.join(moved, keys, "left").select(*keys, "target", F.coalesce("moved", "tilt").alias("tilt"))
-    return scratch.put("tilt", tilt)
+            return state.select(*keys, "tilt", F.lit(step).alias("steps"))
+        state = state.drop("off")
+    raise RuntimeError(f"no convergence in {steps} steps: relative gradient {worst}")
 
 
 def mix(
@@ -107,7 +141,8 @@ def mix(
 
     Copies follow from hashes of the ids alone, so reruns agree; repeated rows
     are numbered among themselves and together get the copies of their class.
-    Null text: size 0, taken 0.  Null source: a source of its own, last.
+    ``rate`` is exp(tilt * size), at most ``most``; 0 where there are no words or
+    no target.  Null text: size 0, taken 0.  Null source: a source of its own, last.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -124,42 +159,47 @@ def mix(
     classes = scratch.put("classes", sized.groupBy(*keys, "size").agg(F.count(F.lit(1)).alias("n")))
     per_source = classes.groupBy(*keys).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = scratch.put("targets", source_targets(per_source, weights, share, most))
-    tilts = solve_dual(classes, targets, scratch)
-    rates = scratch.put(
-        "rates",
-        targets.join(tilts.select(*keys, "tilt"), keys).select(
-            *keys,
-            "source_size",
-            "target",
-            F.least(F.lit(most), F.coalesce(F.exp("tilt"), F.lit(0.0))).alias("rate"),
-        ),
+    tilts = solve_dual(classes, targets, scratch, most)
+    rate = F.when(F.col("size") > 0, F.exp(F.least(F.col("tilt") * F.col("size"), F.lit(math.log(most)))))
+    units = F.round(F.col("rate") * UNIT).cast("bigint")
+    rated = scratch.put(
+        "rated",
+        classes.join(tilts.select(*keys, "tilt"), keys, "left")
+        .withColumn("rate", F.coalesce(rate, F.lit(0.0)))
+        .withColumn("whole", F.floor(units / UNIT).cast("bigint"))
+        .withColumn("part", units % UNIT)
+        # Bands of neighbouring sizes; only these are in order per source.
+        .withColumn("band", F.floor(F.sqrt("size")).cast("bigint")),
     )
 
-    # Number the rows of a source along (size, bucket, hash): totals of classes,
-    # then of buckets, then places inside a bucket; no step orders a whole source.
-    bucket = F.pmod(F.col("h"), F.lit(CLASS_BUCKETS)).cast("int")
-    tagged = sized.withColumn("bucket", bucket)
-    cells = tagged.groupBy(*keys, "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    by_size = Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    by_bucket = Window.partitionBy(*keys, "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    class_start = classes.join(rates.select(*keys, "rate"), keys).withColumn(
-        "class_start", F.coalesce(F.sum("n").over(by_size), F.lit(0))
+    # Parts add up along (size, bucket, hash): over bands, classes and buckets,
+    # then by place inside a bucket; no step orders a whole source.  A row gets
+    # a further copy where the sum passes a whole unit, so sums are kept modulo it.
+    modulo = lambda x: F.pmod(x, F.lit(UNIT))
+    parts = modulo(F.pmod(F.col("n"), F.lit(UNIT)) * F.col("part"))
+    before = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0))
+    bands = (
+        rated.groupBy(*keys, "band").agg(F.sum(parts).alias("all"))
+        .select(*keys, "band", modulo(earlier("all", before("band", *keys))).alias("band_start"))
+    )
+    class_start = (
+        rated.withColumn("class_start", earlier(parts, before("size", *keys, "band")))
+        .join(bands, [*keys, "band"])
+        .select(*keys, "size", "rate", "whole", "part", modulo(F.col("class_start") + F.col("band_start") + UNIT // 2).alias("class_start"))
     )
-    starts = cells.withColumn("bucket_start", F.coalesce(F.sum("n").over(by_bucket), F.lit(0))).join(
-        class_start.select(*keys, "size", "class_start", "rate"), [*keys, "size"]
-    ).select(*keys, "size", "bucket", (F.col("class_start") + F.col("bucket_start")).alias("start"), "rate")
+    tagged = sized.withColumn("bucket", F.pmod(F.col("h"), F.lit(CLASS_BUCKETS)).cast("int"))
+    cells = tagged.groupBy(*keys, "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    starts = cells.withColumn("bucket_start", earlier("n", before("bucket", *keys, "size"))).join(class_start, [*keys, "size"]).drop("n")
     place = Window.partitionBy(*keys, "size", "bucket").orderBy("h", F.col("doc_id"))
-    whole = F.floor(F.col("rate") + F.lit(1e-9))
-    part = F.greatest(F.lit(0.0), F.col("rate") - whole)
-    rank = F.col("start") + F.col("place")
+    rank = F.pmod(F.col("bucket_start") + F.col("place"), F.lit(UNIT))
+    passed = modulo(F.col("class_start") + modulo(rank * F.col("part"))) < F.col("part")
     drawn = scratch.put(
         "drawn",
         tagged.withColumn("place", F.row_number().over(place))
         .join(starts, [*keys, "size", "bucket"])
-        .withColumn("whole", whole.cast("bigint"))
-        .withColumn("extra_copy", (F.floor(part * rank + 0.5) - F.floor(part * (rank - 1) + 0.5)).cast("bigint"))
-        .withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra_copy")).otherwise(F.lit(0)).cast("bigint"))
-        .drop("start", "h"),
+        .withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + passed.cast("bigint")).otherwise(F.lit(0)).cast("bigint"))
+        .drop("class_start", "bucket_start", "h", "whole", "part"),
     )
 
     # What rounding leaves of a total is met by single documents of about that size.
@@ -188,7 +228,7 @@ def mix(
             .drop("step"),
         )
     scratch.drop("sized", "classes", *["drawn", *[f"drawn{turn}" for turn in range(corrections)]][:-1])
-    return drawn.join(rates.drop("rate"), keys).select(
+    return drawn.join(targets, keys).select(
         "doc_id",
         "size",
         "source_size",

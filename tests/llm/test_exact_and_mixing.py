@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,50 @@ def test_mix_meets_targets(spark):
         assert abs(taken[s] - t) <= max(largest, 1)
 
 
+def plain_tilt(sizes, target, most=2.0):
+    """The tilt by bisection, without Spark."""
+    sizes = np.array([s for s in sizes if s], dtype=float)
+    low, high = -50.0, 50.0
+    for _ in range(400):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (sizes * np.minimum(most, np.exp(np.minimum(mid * sizes, 1.0)))).sum() < target else (low, mid)
+    return low
+
+
+def test_rates_are_the_optimum_of_the_dual(spark):
+    rows = [(i, "w " * (1 + (i * i) % 97), f"s{i % 4}") for i in range(600)]
+    rows += [(1000 + i, "long " * (3000 + i), "s1") for i in range(5)] + [(2000, "", "s0"), (2001, "tiny", "rare")]
+    got = mixing.mix(docs(spark, rows)).collect()
+    per = defaultdict(list)
+    for r in got:
+        per[r.source].append(r)
+    differing = 0
+    for of in per.values():
+        sizes, target = [r.size for r in of], of[0].target
+        tilt = plain_tilt(sizes, target)
+        for r in of:
+            assert r.rate == pytest.approx(min(2.0, np.exp(min(tilt * r.size, 1.0))) if r.size else 0.0, rel=1e-5)
+            assert r.copies <= 2
+        assert sum(r.rate * r.size for r in of) == pytest.approx(target, rel=1e-7)
+        by_size = [r.rate for r in sorted(of, key=lambda r: r.size) if r.size]
+        assert by_size == sorted(by_size) or by_size == sorted(by_size, reverse=True)
+        differing += by_size[0] != by_size[-1]
+        # Rounding follows the rates along the sizes: running copies stay within one of running rates, but for corrections.
+        assert abs(sum(r.copies for r in of) - sum(r.rate for r in of)) <= 1 + 2
+    assert differing >= 3
+
+
+def test_dual_takes_newton_steps_or_raises(spark):
+    classes = spark.createDataFrame([(False, "a", z, 10) for z in (0, 1, 5, 60, 900)] + [(False, "b", 7, 3)], "no_source boolean, source string, size long, n long")
+    targets = spark.createDataFrame([(False, "a", 9660, 15000.0), (False, "b", 21, 10.0), (False, "c", 0, 0.0)], "no_source boolean, source string, source_size long, target double")
+    tilts = {r.source: r for r in mixing.solve_dual(classes, targets, mixing.Scratch(spark, "dual")).collect()}
+    assert set(tilts) == {"a", "b"} and tilts["a"].steps > 1
+    assert tilts["b"].tilt == pytest.approx(np.log(10 / 21) / 7)
+    assert tilts["a"].tilt == pytest.approx(plain_tilt([1, 5, 60, 900] * 10, 15000.0), rel=1e-6)
+    with pytest.raises(RuntimeError, match="no convergence"):
+        mixing.solve_dual(classes, targets, mixing.Scratch(spark, "dual"), steps=1)
+
+
 def test_mix_of_nothing_repeats_and_one_hot_class(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     only = mixing.mix(docs(spark, [(1, None, None)])).collect()
