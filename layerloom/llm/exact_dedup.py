@@ -135,6 +135,24 @@ def dedup(
     )
 
 
+def dedup_in_two(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``dedup`` for a table that comes in two batches, the larger ids first; group_size counts both.
+
+    The second batch meets what the first one left in the index.  As its ids
+    are smaller, the largest id of a text stays all the same; null ids are in
+    the second batch, and an empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "exact-two")
+    ends = docs.agg(F.min(id_col).cast("decimal(38,0)").alias("a"), F.max(id_col).cast("decimal(38,0)").alias("b")).first()
+    upper = F.coalesce(F.col(id_col) > F.lit((ends.a + ends.b) // 2), F.lit(False)) if ends.a is not None else F.lit(False)
+    first = dedup(docs.where(upper), index, id_col, text_col, batch="upper")
+    both = first.unionByName(dedup(docs.where(~upper), index, id_col, text_col, batch="lower"))
+    totals = scratch.put("totals", index.counted("").select(F.lower(F.hex("digest")).alias("sha"), "held"))
+    return both.join(totals, F.col("text_sha256") == F.col("sha")).select(
+        "doc_id", "keep_id", F.col("held").alias("group_size"), "kept", "text_sha256", "row_tag"
+    )
+
+
 def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets=min(max(buckets, 1), 4096))

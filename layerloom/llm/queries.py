@@ -101,7 +101,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = exact_dedup.fresh_index(spark)
-    decided = exact_dedup.dedup(docs, index).drop("row_tag")
+    decided = exact_dedup.dedup_in_two(docs, index).drop("row_tag")
     index.drop()  # the result reads its own tables
     return decided
 

@@ -34,6 +34,22 @@ def test_dedup_keeps_the_largest_id(spark):
     assert set(kept.values()) == {1} and len(kept) == len(groups)
 
 
+def test_two_batches_give_what_one_gives(spark):
+    for rows in (ROWS, [], [(None, "a", "s"), (None, "a", "s")], [(i % 40 - 20, f"t{i % 7}", "s") for i in range(90)]):
+        index = exact_dedup.fresh_index(spark, 2)
+        got = exact_dedup.dedup_in_two(docs(spark, rows), index).collect()
+        held = {r.digest.hex(): r.held for r in index.counted("").collect()}
+        index.drop()
+        groups = defaultdict(list)
+        for i, t, _ in rows:
+            groups[hashlib.sha256((t or "").encode()).hexdigest()].append(i)
+        assert held == {d: len(ids) for d, ids in groups.items()}
+        want = [(i, max((x for x in ids if x is not None), default=None), len(ids), d) for d, ids in groups.items() for i in ids]
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == Counter(want)
+        assert Counter(r.text_sha256 for r in got if r.kept) == Counter(dict.fromkeys(groups, 1))
+        assert all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
 def test_index_persists_and_later_batches_give_way(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     index = exact_dedup.DigestIndex(spark, "idx_a", path, buckets=4)
