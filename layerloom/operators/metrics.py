@@ -88,6 +88,29 @@ def change_nmi(detected: DataFrame, truth: DataFrame, least: float = 0.05) -> Da
     return nmi(both, ["layer"]).join(changed, "layer")
 
 
+def active_only(rows: DataFrame, active: DataFrame) -> DataFrame:
+    """The rows whose node is active in their layer; active(layer, node)."""
+    return rows.join(active.select("layer", "node"), ["layer", "node"], "left_semi")
+
+
+def transition_nmi(detected: DataFrame, truth: DataFrame, active: DataFrame | None = None, least: float = 0.05) -> DataFrame:
+    """One row: the mean of ``change_nmi`` and its number of layers, over active nodes; null where nothing changes."""
+    if active is not None:
+        detected, truth = active_only(detected, active), active_only(truth, active)
+    return change_nmi(detected, truth, least).agg(F.avg("nmi").alias("nmi_change"), F.count(F.lit(1)).alias("layers"))
+
+
+def valid_runs(runs: DataFrame, values: list[str], status: str = "status", ok: str = "ok") -> DataFrame:
+    """Runs that ended well and have all of ``values``."""
+    kept = runs.where(F.col(status) == ok)
+    return kept.dropna(subset=values) if values else kept
+
+
+def without_methods(runs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The distinct methods of ``runs`` that ``dropped`` does not list, both by column ``method``."""
+    return runs.select("method").subtract(dropped.select("method"))
+
+
 def agreement(labels: DataFrame, keys: list[str]) -> DataFrame:
     """NMI of every unordered pair of methods; labels(keys..., method, node, community)."""
     a = labels.select(*keys, "node", F.col("method").alias("method1"), F.col("community").alias("a"))

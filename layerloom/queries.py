@@ -111,6 +111,36 @@ def panel_layers(spark, d):
     return Y.panel_layers(panel, Y.find_column(panel.columns, ["trade", "flow"]), 1996, 1999).edges
 
 
+@query(
+    "parallel_edges",
+    """SELECT (o_orderkey % 3 + 1)::INT AS layer, least(c_nationkey, o_orderkey % 25) AS src, greatest(c_nationkey, o_orderkey % 25) AS dst,
+  sum(o_custkey % 5)::DOUBLE AS weight FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 5 <> 0 GROUP BY ALL""",
+)
+def parallel_edges(spark, d):
+    o, c = spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/customer.parquet")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        (F.col("o_orderkey") % 3 + 1).alias("layer"), F.col("c_nationkey").cast("long").alias("src"), (F.col("o_orderkey") % 25).cast("long").alias("dst"), (F.col("o_custkey") % 5).alias("weight")
+    )
+    return Y.from_edges(rows, same_nodes=False, n_layers=3).edges
+
+
+@query(
+    "panel_last_row",
+    """WITH p AS (SELECT year(o_orderdate) AS y, c_nationkey::BIGINT AS a, (o_orderkey % 25)::BIGINT AS b, o_orderkey AS k,
+  CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE o_totalprice END::DOUBLE AS v FROM orders JOIN customer ON o_custkey = c_custkey),
+g AS (SELECT (y - 1994)::INT AS layer, least(a, b) AS src, greatest(a, b) AS dst, arg_max(v, k) AS weight FROM p WHERE a <> b GROUP BY ALL)
+SELECT layer, src, dst, weight FROM g WHERE weight <> 0""",
+)
+def panel_last_row(spark, d):
+    o, c = spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/customer.parquet")
+    panel = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.year("o_orderdate").alias("year"), F.col("c_nationkey").cast("long").alias("ccode1"), (F.col("o_orderkey") % 25).cast("long").alias("ccode2"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("flow"), "o_orderkey",
+    )
+    last = panel.agg(F.max("year")).first()[0]
+    return Y.panel_layers(panel, "flow", 1995, last, order="o_orderkey").edges
+
+
 @query(
     "derived_measure",
     "SELECT c_custkey, coalesce(c_acctbal, 0.0) + coalesce(CASE WHEN c_nationkey > 10 THEN c_acctbal END, 0.0) AS total FROM customer",
@@ -410,6 +440,45 @@ def nmi_change(spark, d):
     return rounded(M.change_nmi(m.withColumn("community", (F.col("node") % 3).cast("int")), m), "nmi", "changed")
 
 
+# Nodes that are absent from a layer, runs that failed, methods left out.
+
+
+MASK = "(node * 7 + layer) % 5 <> 0"
+SHIFTED = "((node + CASE WHEN (node + layer) % 3 = 0 THEN layer ELSE 0 END) % 4)::INT"
+
+
+@query(
+    "transition_nmi",
+    "WITH per AS ("
+    + _nmi_sql(f"{MEMBERS}, t AS (SELECT layer, node, community AS d, {SHIFTED} AS c FROM m WHERE {MASK}), g AS (SELECT x.layer, avg((x.c <> y.c)::INT) AS changed FROM t x JOIN t y ON y.layer = x.layer - 1 AND y.node = x.node GROUP BY 1 HAVING avg((x.c <> y.c)::INT) > 0.05), k AS (SELECT layer, d AS a, c AS b FROM t)", "layer")
+    .replace("AS nmi FROM h", "AS nmi FROM h JOIN g USING (layer)")
+    + ") SELECT round(avg(nmi), 4) AS nmi_change, count(*)::BIGINT AS layers FROM per",
+)
+def transition_nmi(spark, d):
+    m = Y.event_membership(spark, d)
+    truth = m.withColumn("community", ((F.col("node") + F.when((F.col("node") + F.col("layer")) % 3 == 0, F.col("layer")).otherwise(0)) % 4).cast("int"))
+    return rounded(M.transition_nmi(m, truth, m.where("(node * 7 + layer) % 5 <> 0")), "nmi_change", places=4)
+
+
+@query("active_nodes", f"WITH {MEMBERS} SELECT layer, node, community FROM m WHERE {MASK}")
+def active_nodes(spark, d):
+    m = Y.event_membership(spark, d)
+    return M.active_only(m, m.where("(node * 7 + layer) % 5 <> 0"))
+
+
+@query("valid_runs", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 <> 0")
+def valid_runs(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("o_totalprice"))
+    return M.valid_runs(o, ["o_totalprice"], "o_orderstatus", "O").select("o_orderkey", "o_totalprice")
+
+
+@query("without_methods", "SELECT n_name AS method FROM nation EXCEPT SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 8000")
+def without_methods(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").withColumnRenamed("n_name", "method")
+    s = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 8000")
+    return M.without_methods(n, n.join(s, n["n_nationkey"] == s["s_nationkey"], "left_semi"))
+
+
 # Block model, redraws and simulation.
 
 MODEL = f"""{MEMBERS}, {EDGES}, x AS (SELECT e.layer, (a.community = b.community) AS same, e.weight, src, dst FROM e JOIN m a ON a.layer = e.layer AND a.node = src JOIN m b ON b.layer = e.layer AND b.node = dst),

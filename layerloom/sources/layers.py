@@ -41,9 +41,12 @@ def from_edges(
     same_nodes: bool = True,
     drop_loops: bool = False,
     n_layers: int | None = None,
+    how: str = "sum",
 ) -> LayerSet:
     """Layers from an edge table; zero weights are no edges, a missing weight is 1.
 
+    Parallel edges add up, undirected ones in either direction; ``how="max"``
+    is for tables that list both directions of one edge, as a matrix does.
     Without ``nodes`` a layer's nodes are its endpoints.  ``same_nodes`` demands
     equal node sets in all layers.
     """
@@ -54,7 +57,8 @@ def from_edges(
     nodes = (nodes.select(F.col("layer").cast("int"), "node").unionByName(ends) if nodes is not None else ends).distinct()
     if drop_loops:
         edges = edges.where("src <> dst")
-    edges = edges.groupBy("layer", "src", "dst").agg(F.max("weight").alias("weight")) if directed else undirected(edges)
+    merged = {"max": F.max, "sum": F.sum}[how]("weight").alias("weight")
+    edges = edges.groupBy("layer", "src", "dst").agg(merged) if directed else undirected(edges, how)
     n = n_layers or nodes.agg(F.max("layer")).first()[0] or 0
     if n < 2:
         raise ValueError("at least two layers are needed")
@@ -102,6 +106,7 @@ def from_matrices(spark: SparkSession, layers: list, directed: bool = False, sam
         directed,
         same_nodes,
         n_layers=len(layers),
+        how="max",
     )
 
 
@@ -115,19 +120,28 @@ def from_arrays(matrices: DataFrame) -> DataFrame:
     )
 
 
-def panel_layers(panel: DataFrame, value: str, first: int, last: int, a: str = "ccode1", b: str = "ccode2", year: str = "year") -> LayerSet:
-    """A dyad-year panel as yearly layers over all states of the period; null is 0, the larger value of a pair holds."""
+def panel_layers(panel: DataFrame, value: str, first: int, last: int, a: str = "ccode1", b: str = "ccode2", year: str = "year", order: str | None = None) -> LayerSet:
+    """A dyad-year panel as yearly layers over all states of the period; null is 0.
+
+    Of several rows of a pair, in either direction, the last by ``order`` holds,
+    even where it is 0; without an order the larger value does.
+    """
     rows = panel.where(F.col(year).between(first, last)).select(
         (F.col(year) - (first - 1)).cast("int").alias("layer"),
         F.col(a).alias("src"),
         F.col(b).alias("dst"),
         F.coalesce(F.col(value), F.lit(0)).cast("double").alias("weight"),
+        F.col(order or year).alias("place"),
     )
     states = rows.select(F.col("src").alias("node")).unionByName(rows.select(F.col("dst").alias("node"))).distinct()
     n = last - first + 1
     years = panel.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("layer"))
     nodes = states.withColumn("layer", F.explode(F.sequence(F.lit(1), F.lit(n)))).select("layer", "node") if n else years
-    return LayerSet(nodes, undirected(rows.where("src <> dst and weight <> 0")), n)
+    apart = rows.where("src <> dst")
+    if order is None:
+        return LayerSet(nodes, undirected(apart.where("weight <> 0")), n)
+    last = apart.groupBy("layer", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max_by("weight", "place").alias("weight"))
+    return LayerSet(nodes, last.where("weight <> 0"), n)
 
 
 def total_of(*columns: str) -> Column:

@@ -311,3 +311,15 @@ def test_reuse_takes_labels_at_positive_overlap_only():
 
     overlap = {(0, 0): 5, (0, 1): 4, (1, 2): 3}
     assert relabel_step([0, 1, 2], {0: 1, 1: 2}, overlap, 3, "reuse")[0] == {0: 1, 2: 2, 1: 3}
+
+
+def test_parallel_edges_add_up_and_the_last_panel_row_holds(spark):
+    rows = [(1, "a", "b", 2.0), (1, "b", "a", 3.0), (2, "a", "b", 1.0)]
+    edges = spark.createDataFrame(rows, "layer int, src string, dst string, weight double")
+    found = lambda y: sorted((r.layer, r.src, r.dst, r.weight) for r in y.edges.collect())
+    assert found(Y.from_edges(edges, same_nodes=False)) == [(1, "a", "b", 5.0), (2, "a", "b", 1.0)]
+    assert found(Y.from_edges(edges, same_nodes=False, how="max")) == [(1, "a", "b", 3.0), (2, "a", "b", 1.0)]
+    assert found(Y.from_edges(edges, same_nodes=False, directed=True))[:2] == [(1, "a", "b", 2.0), (1, "b", "a", 3.0)]
+    panel = spark.createDataFrame([(1, 1, 2, 2000, 9.0), (2, 2, 1, 2000, 4.0), (3, 1, 3, 2001, 7.0), (4, 1, 3, 2001, None)], "k int, ccode1 int, ccode2 int, year int, flow double")
+    assert found(Y.panel_layers(panel, "flow", 2000, 2001, order="k")) == [(1, 1, 2, 4.0)]
+    assert found(Y.panel_layers(panel, "flow", 2000, 2001)) == [(1, 1, 2, 9.0), (2, 1, 3, 7.0)]
