@@ -112,6 +112,44 @@ def test_labelers_that_agree_are_believed():
     assert pii.estimate([]) == {} and pii.fit([]) == []
 
 
+def test_added_spans_of_labelled_sentences(spark):
+    """Sentences with the spans that are to be added; n varies the values."""
+    good = [
+        ("please call me at {}", lambda n: f"555-{200 + n}-{4000 + 7 * n}"),
+        ("fax: {} or later", lambda n: f"({310 + n}) 555-{2000 + 13 * n}"),
+        ("write to {} soon", lambda n: f"user.{n} (at) host{n} (dot) com"),
+        ("we met {} there", lambda n: ("Dr. John Smith", "Mrs. Mary Brown", "Mr. Peter Jones", "Ms. Anna Weber")[n % 4]),
+        ('so token = "{}" it is', lambda n: f"{n:02d}f3ab77c0de{n * 7919:08x}"),
+        ("API_KEY={}", lambda n: f"sk_live{n:03d}Zx81{n * 104729:08x}"),
+    ]
+    bad = [
+        "order 555-{0}-4567 page", "invoice no. 312-555-{0}1 paid", "token = {0}", "the secret: understanding people {0}",
+        "thanks, Mr. President of {0}", "card 1234 {0} 99 out", "password: changeme{0}", "+12 {0}", "version 300.{0}.1.1", "mail@{0}",
+    ]
+    rows, want = [], {}
+    for n in range(40):
+        for text, value in good:
+            v = value(n)
+            want[len(rows)] = {(text.index("{"), text.index("{") + len(v))}
+            rows.append((len(rows), text.format(v)))
+        for text in bad:
+            want[len(rows)] = set()
+            rows.append((len(rows), text.format(200 + n)))
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {r.doc_id: {(s.start, s.end) for s in r.spans} - {(s.start, s.end) for s in r.base} for r in found}
+    hits = sum(len(added[i] & want[i]) for i in want)
+    assert hits >= 0.9 * sum(map(len, added.values())) and hits >= 0.9 * sum(map(len, want.values()))
+    assert not any(s.kind == "card" for r in found for s in r.spans)
+
+
+def test_anchors_teach_but_stay_apart():
+    unknown = [((1, 0, 1, 0, 0), 5), ((1, 0, -1, 0, 0), 5), ((0, 0, 0, 0, 0), 5)]
+    alone = pii.estimate(unknown)
+    assert alone[unknown[0][0]] > 0.95 > alone[unknown[1][0]] and alone[unknown[2][0]] < 0.95
+    doubtful = pii.estimate(unknown, anchors=[((0, 0, 1, 0, 0), 5000, False), ((0, 0, 1, 0, 0), 5000, True)])
+    assert doubtful[unknown[0][0]] < alone[unknown[0][0]]
+
+
 def turns(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat_format.text_parts(F.col("text")))
 
