@@ -31,8 +31,3 @@ def wilson(p: Column, n: Column, alpha: float = 0.05) -> tuple[Column, Column]:
     centre = (p + z * z / (2 * n)) / base
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / base
     return clip01(centre - half), clip01(centre + half)
-
-
-def super_key(layer: Column, community: Column) -> Column:
-    """The printed name of a layer's community."""
-    return F.concat(F.lit("L"), layer.cast("string"), F.lit("C"), community.cast("string"))

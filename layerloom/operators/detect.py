@@ -152,18 +152,4 @@ def detect_multislice(
     return found if by else found.drop("__all")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Connected components per layer by repeated minimum; labels are the smallest node."""
-    both = edges.select("layer", F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(edges.select("layer", F.col("dst").alias("node"), F.col("src").alias("other")))
-    label = nodes.withColumn("root", F.col("node"))
-    for _ in range(64):
-        near = both.join(label.select("layer", F.col("node").alias("other"), F.col("root").alias("r")), ["layer", "other"]).groupBy("layer", "node").agg(F.min("r").alias("r"))
-        new = label.join(near, ["layer", "node"], "left").select("layer", "node", F.least("root", F.coalesce("r", "root")).alias("next"), "root").checkpoint()
-        same = new.where("next < root").isEmpty()
-        label = new.select("layer", "node", F.col("next").alias("root"))
-        if same:
-            break
-    return label
-
-
-__all__ = ["components", "detect_layers", "detect_meta", "detect_multislice", "fallback_labels", "objective_for", "refuse_negative"]
+__all__ = ["detect_layers", "detect_meta", "detect_multislice", "fallback_labels", "objective_for", "refuse_negative"]

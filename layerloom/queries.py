@@ -111,6 +111,13 @@ def panel_layers(spark, d):
     return Y.panel_layers(panel, Y.find_column(panel.columns, ["trade", "flow"]), 1996, 1999).edges
 
 
+@query("panel_all_years", f"WITH {TRADE} SELECT layer, src, dst, weight FROM trade")
+def panel_all_years(spark, d):
+    panel = Y.trade_edges(spark, d).select((F.col("layer") + 1994).alias("year"), F.col("dst").alias("ccode1"), F.col("src").alias("ccode2"), F.col("weight").alias("flow"))
+    first, last = panel.agg(F.min("year"), F.max("year")).first()
+    return Y.panel_layers(panel, "flow", first, last).edges.withColumn("layer", (F.col("layer") + (first - 1995)).cast("int"))
+
+
 @query(
     "parallel_edges",
     """SELECT (o_orderkey % 3 + 1)::INT AS layer, least(c_nationkey, o_orderkey % 25) AS src, greatest(c_nationkey, o_orderkey % 25) AS dst,
@@ -693,6 +700,29 @@ def leiden_cpm_cliques(spark, d):
     return D.detect_layers(y.nodes, y.edges, "leiden", 0.5, objective="cpm")
 
 
+@query(
+    "resolution_limit",
+    """SELECT * FROM (VALUES ('louvain', false, true), ('leiden', false, true), ('leiden_cpm', true, false)) t(method, finds_cliques, merges_cliques)""",
+)
+def resolution_limit(spark, d):
+    """A ring of 30 cliques of five: the best modularity joins neighbours, the constant Potts model keeps each clique apart."""
+    five = spark.range(150).select(F.lit(1).alias("layer"), F.col("id").alias("node"), F.expr("id div 5").alias("clique"))
+    inside = five.alias("a").join(five.alias("b"), F.expr("a.clique = b.clique AND a.node < b.node")).select("a.layer", F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    ring = five.where("node % 5 = 0").select("layer", F.col("node").alias("src"), ((F.col("node") + 9) % 150).alias("dst"))
+    edges = inside.unionByName(ring).withColumn("weight", F.lit(1.0))
+    nodes = five.select("layer", "node")
+    fits_of = {"louvain": ("louvain", 1.0, None), "leiden": ("leiden", 1.0, None), "leiden_cpm": ("leiden", 0.5, "cpm")}
+    found = [
+        D.detect_layers(nodes, edges, algorithm, resolution, objective=objective).join(five, ["layer", "node"]).withColumn("method", F.lit(name))
+        for name, (algorithm, resolution, objective) in fits_of.items()
+    ]
+    cells = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("method", "community").agg(F.count_distinct("clique").alias("cliques"), F.count("*").alias("nodes"))
+    return cells.groupBy("method").agg(
+        F.every((F.col("cliques") == 1) & (F.col("nodes") == 5)).alias("finds_cliques"),
+        (F.every(F.col("nodes") == 5 * F.col("cliques")) & (F.max("cliques") > 1)).alias("merges_cliques"),
+    )
+
+
 @query("meta_cliques", META_CLIQUES)
 def meta_cliques(spark, d):
     return fits.fit_multilayer_jaccard(spark, region_layers(spark, d)).meta

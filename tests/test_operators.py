@@ -306,6 +306,32 @@ def test_stream_follows_communities(spark, tmp_path):
     assert got.groupBy("node").agg(F.count_distinct("meta_community").alias("k")).agg(F.max("k")).first()[0] == 1
 
 
+def test_stream_survives_restarts_and_retries(spark, tmp_path):
+    from datetime import datetime
+
+    from layerloom.streaming.tracker import StreamTracker
+
+    blocks = [[(1, 2, 3), (4, 5, 6)], [(1, 2, 3), (7, 8, 9)], [(4, 5, 6), (7, 8, 9)]]
+    batch = lambda t: spark.createDataFrame(
+        [(datetime(2024, 1, 1 + 7 * t), a, b, 1.0) for block in blocks[t] for a, b in itertools.combinations(block, 2)],
+        "start timestamp, src int, dst int, weight double",
+    )
+    out = lambda: sorted((r.layer, r.node, r.meta_community) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    for t in (0, 1, 1, 2, 2):  # a new tracker each time, and two batches tried again
+        StreamTracker(spark, f"{tmp_path}/out")(batch(t), t)
+    labels = [(1, 1, 2), (2, 1, 3), (3, 4, 3)]  # layer, label of its first block, of its second
+    assert out() == sorted((layer, n, m) for layer, *names in labels for m, block in zip(names, blocks[layer - 1], strict=True) for n in block)
+    spark.createDataFrame([], "start timestamp, src int, dst int, weight double").transform(lambda df: StreamTracker(spark, f"{tmp_path}/out")(df, 3) or df)
+    assert len(out()) == 18
+
+
+def test_null_flows_are_no_edges(spark):
+    rows = [(2000, 1, 2, None), (2000, 2, 3, 4.0), (2001, 1, 2, 0.0)]
+    y = Y.panel_layers(spark.createDataFrame(rows, "year int, ccode1 int, ccode2 int, flow double"), "flow", 2000, 2001)
+    assert [tuple(r) for r in y.edges.select("layer", "src", "dst", "weight").collect()] == [(1, 2, 3, 4.0)]
+    assert y.nodes.count() == 6
+
+
 def test_reuse_takes_labels_at_positive_overlap_only():
     from layerloom.operators.track import relabel_step
 
