@@ -52,13 +52,13 @@ def redraw(spark: SparkSession, nodes: DataFrame, edges: DataFrame, membership:
     reps = spark.range(1, n_boot + 1).select(F.col("id").cast("int").alias("rep"))
     a = membership.select("layer", F.col("node").alias("src"), F.col("community").alias("ca"))
     b = membership.select("layer", F.col("node").alias("dst"), F.col("community").alias("cb"))
-    pairs = a.join(b, "layer").where("src <> dst" if directed else "src < dst").join(F.broadcast(model), "layer")
+    pairs = a.join(b, "layer").where("src <> dst" if directed else "src < dst").join(model, "layer")
     drawn = pairs.crossJoin(F.broadcast(reps)).withColumn("same", F.col("ca") == F.col("cb"))
     key = (F.col("rep"), F.col("layer"), F.col("src"), F.col("dst"))
     drawn = drawn.where(uniform(seed, *key) < F.when(F.col("same"), F.col("p_in")).otherwise(F.col("p_out")))
     kinds = pools.groupBy("layer", "same").agg(F.count(F.lit(1)).alias("size"))
     every = pools.groupBy("layer").agg(F.count(F.lit(1)).alias("size_all"))
-    drawn = drawn.join(F.broadcast(kinds), ["layer", "same"], "left").join(F.broadcast(every), "layer", "left")
+    drawn = drawn.join(kinds, ["layer", "same"], "left").join(every, "layer", "left")
     u = uniform(seed, F.lit("w"), *key)
     drawn = drawn.withColumn("idx", F.floor(u * F.col("size")).cast("int")).withColumn("idx_all", F.when(F.col("size").isNull(), F.floor(u * F.col("size_all")).cast("int")))
     own = pools.select("layer", "same", "idx", F.col("weight").alias("w1"))

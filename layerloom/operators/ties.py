@@ -33,7 +33,7 @@ def shared(membership: DataFrame, links: DataFrame, by: tuple[str, ...] = ()) ->
     f = _sides(membership, by, layer="from_layer", node="node", community="from_community")
     t = _sides(membership, by, layer="to_layer", node="node", community="to_community")
     return (
-        f.join(F.broadcast(numbered(links)), "from_layer")
+        f.join(numbered(links), "from_layer")
         .join(t, [*by, "to_layer", "node"])
         .groupBy(*by, "from_layer", "to_layer", "weight", "times", "from_community", "to_community")
         .agg(F.count(F.lit(1)).alias("inter"))
@@ -46,7 +46,7 @@ def _weighted(membership: DataFrame, links: DataFrame, strengths: DataFrame, met
     The max takes both layers' strengths for every node of either community;
     sums of maxima over the union follow by inclusion and exclusion.
     """
-    link = F.broadcast(numbered(links))
+    link = numbered(links)
     key = [*by, "from_layer", "to_layer", "weight", "times"]
     sf = _sides(strengths, by, layer="from_layer", node="node", strength="sf")
     st = _sides(strengths, by, layer="to_layer", node="node", strength="st")
@@ -114,7 +114,7 @@ def community_ties(
         c = membership.select(*by, "layer", "community").distinct()
         a = _sides(c, by, layer="from_layer", community="from_community")
         b = _sides(c, by, layer="to_layer", community="to_community")
-        pairs = a.join(F.broadcast(numbered(links)), "from_layer").join(b, [*by, "to_layer"])
+        pairs = a.join(numbered(links), "from_layer").join(b, [*by, "to_layer"])
         found = pairs.join(found, [*key, "from_community", "to_community"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return (
         found.withColumn("weighted_similarity", F.col("similarity") * F.col("weight"))
@@ -136,7 +136,7 @@ def self_loops(
     """One loop per community of a linked layer: similarity 2 (directed: 1), weighted by the layer's largest link."""
     ends = links.select(F.col("from_layer").alias("layer"), "weight").unionByName(links.select(F.col("to_layer").alias("layer"), "weight"))
     per = ends.groupBy("layer").agg(F.greatest(F.max("weight"), F.lit(0.0)).alias("layer_weight"))
-    own = membership.select(*by, "layer", "community").distinct().join(F.broadcast(per), "layer")
+    own = membership.select(*by, "layer", "community").distinct().join(per, "layer")
     similarity = F.lit(1.0 if directed else 2.0)
     return (
         own.select(
@@ -159,7 +159,7 @@ def identity_ties(nodes: DataFrame, links: DataFrame, by: tuple[str, ...] = ())
     f = _sides(nodes, by, layer="from_layer", node="node")
     t = _sides(nodes, by, layer="to_layer", node="node")
     return (
-        f.join(F.broadcast(links), "from_layer")
+        f.join(links, "from_layer")
         .join(t, [*by, "to_layer", "node"])
         .select(*by, "from_layer", "to_layer", "node", F.col("weight").alias("layer_weight"))
     )
