@@ -182,7 +182,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def estimate(
     patterns: list[tuple[tuple[int, ...], int]],
-    rounds: int = 200,
+    rounds: int = 10_000,
     anchors: list[tuple[tuple[int, ...], int, bool]] | None = None,
 ) -> dict[tuple[int, ...], float]:
     """Expectation-maximisation: the chance of personal data for every vote pattern.
