@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, mixing, ngram_join, pii, sentencepiece_bpe, substring_dedup, topk_search, url_filter
+from . import chat_format, exact_dedup, filter_audit, language_id, merkle, mixing, ngram_join, pii, sentencepiece_bpe, substring_dedup, topk_search, url_filter, warc
 from .scratch import Scratch, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -106,6 +106,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "archives").path("warc"))
+    return warc.read_pages(spark, archives)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -117,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle": op12_merkle,
+    "op13_warc": op13_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -158,5 +175,94 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
   count(*) OVER (PARTITION BY text_sha256)::BIGINT AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM d
+""",
+    "op11_filter_audit": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS q, max((toxic = 1)::INT) AS x FROM labels GROUP BY doc_id
+), w AS (
+  SELECT t.*, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda v: v <> '') AS words,
+    coalesce(q = 1, false) AS good, coalesce(x = 1, false) AS toxic,
+    coalesce(min(t.doc_id) OVER (PARTITION BY text) < t.doc_id, false) AS copied
+  FROM t LEFT JOIN l ON l.doc_id = t.doc_id
+), f AS (
+  SELECT part, good, toxic,
+    (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * copied::INT AS fails FROM w
+), g AS (SELECT part, fails, count(*) AS n, sum(good::INT) AS good, sum(toxic::INT) AS toxic FROM f GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+    [0, a.bit, a.bit + b.bit, a.bit + b.bit + c.bit, 31 - e.bit] AS before, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a JOIN letters b ON b.bit <> a.bit JOIN letters c ON c.bit NOT IN (a.bit, b.bit)
+    JOIN letters d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN letters e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)
+), steps AS (SELECT filter_order, s::INT AS step, before[s] AS before, bits[s] AS bit FROM orders, range(1, 6) r(s)),
+counted AS (
+  SELECT part, filter_order, step, s.bit,
+    sum(CASE WHEN fails & (before | s.bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN fails & before = 0 AND fails & s.bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN fails & before > 0 AND fails & s.bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails = s.bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN fails & before = 0 AND fails & s.bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN fails & before = 0 AND fails & s.bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM g, steps s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM counted
+""",
+    "op12_merkle": r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END
+    || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+    || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+    || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS head,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS low,
+    -- CRC-32, bit by bit: a byte comes in before every eighth shift
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 8 * strlen(doc_id::VARCHAR)),
+        lambda i: CASE WHEN i % 8 = 0 THEN ascii((doc_id::VARCHAR)[i // 8 + 1]) ELSE 0 END::BIGINT)),
+      lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)) AS crc
+  FROM documents
+), hashed AS (
+  SELECT doc_id, source, sha256(head || tail) AS leaf, CASE WHEN coalesce(xor(crc, 4294967295) % 5 = 0, false) THEN sha256(head || low) ELSE sha256(head || tail) END AS start FROM f
+), s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT source FROM documents)),
+leaves AS (
+  SELECT tree, trees, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n, doc_id, leaf, start
+  FROM hashed JOIN s ON s.source IS NOT DISTINCT FROM hashed.source
+), inner_nodes AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS h FROM leaves
+  UNION ALL SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM inner_nodes WHERE n > 1 GROUP BY tree, level, pos // 16, n
+), subs AS (SELECT tree, h AS subroot FROM inner_nodes WHERE n = 1),
+outer_nodes AS (
+  SELECT 0 AS level, subs.tree AS pos, trees AS n, subroot AS h FROM subs JOIN s ON s.tree = subs.tree
+  UNION ALL SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM outer_nodes WHERE n > 1 GROUP BY level, pos // 16, n
+), top AS (SELECT h AS root FROM outer_nodes WHERE n = 1),
+depths AS (SELECT tree, max(level) AS depth FROM inner_nodes GROUP BY tree),
+-- one numbering of levels: those of the source's tree, then those of the tree over sources
+runs AS (
+  SELECT tree, level, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM inner_nodes WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT d.tree, depth + level, pos // 16, list(h ORDER BY pos) FROM outer_nodes, depths d WHERE n > 1 GROUP BY d.tree, depth + level, pos // 16
+), folded AS (
+  SELECT tree, 0 AS level, pos, tree AS up, doc_id, leaf, '' AS proof, start AS h FROM leaves
+  UNION ALL
+  SELECT f.tree, f.level + 1,
+    CASE WHEN f.level + 1 = depth THEN f.tree ELSE (CASE WHEN f.level = 0 AND depth = 0 THEN f.tree ELSE f.pos END) // 16 END, up, doc_id, leaf,
+    proof || array_to_string(hs[1 : place], '') || array_to_string(hs[place + 2 :], ''),
+    sha256(array_to_string(hs[1 : place], '') || f.h || array_to_string(hs[place + 2 :], ''))
+  FROM (SELECT x.*, depth, (CASE WHEN x.level = 0 AND depth = 0 THEN x.tree ELSE x.pos END) AS at, (CASE WHEN x.level = 0 AND depth = 0 THEN x.tree ELSE x.pos END) % 16 AS place FROM folded x JOIN depths USING (tree)) f
+    JOIN runs r ON r.tree = f.tree AND r.level = f.level AND r.run = f.at // 16
+), ends AS (SELECT * FROM folded QUALIFY level = max(level) OVER (PARTITION BY tree))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM ends JOIN subs USING (tree), top
+""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM d
 """,
 }
