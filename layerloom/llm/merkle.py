@@ -131,7 +131,7 @@ def _proofs(con, rows: pa.Table) -> pa.Table:
         SELECT f.doc_id, f.leaf, subroot, root, sha256(proof || array_to_string(list_transform(way, lambda s: s.l || s.r), '')) AS proof_sha256, h, way
         FROM fold f JOIN above a ON a.tree = f.tree AND a.block = f.block""")
     # One hash a level above the block, the same levels for all leaves of a block.
-    deepest = con.execute("SELECT coalesce(max(len(way)), 0) FROM above").fetchone()[0]
+    deepest = con.execute("SELECT coalesce(max(len(way)), 0) FROM above").fetchall()[0][0]
     for k in range(1, deepest + 1):
         con.execute(f"""CREATE OR REPLACE TEMP TABLE done AS
             SELECT doc_id, leaf, subroot, root, proof_sha256, way, CASE WHEN len(way) < {k} THEN h ELSE sha256(way[{k}].l || h || way[{k}].r) END AS h FROM done""")
