@@ -80,6 +80,52 @@ def co_assignment(members: DataFrame, n_completed: int) -> DataFrame:
     return both.groupBy("layer", "i", "j").agg((F.count(F.lit(1)) / n_completed).alias("p"))
 
 
+def label_classes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes that have the same labels in all replicates, as one.
+
+    Returns membership(layer, node, class, size), a class being named by its
+    smallest node, and labels(layer, class, size, rep, meta_community).  A node's
+    labels are folded into one digest per replicate and these into one list, at
+    most one entry per replicate.
+    """
+    line = F.sort_array(F.collect_list(F.struct("rep", "meta_community")))
+    marks = members.groupBy("layer", "node").agg(F.sha2(F.to_json(line), 256).alias("mark"))
+    classes = marks.groupBy("layer", "mark").agg(F.min("node").alias("class"), F.count(F.lit(1)).alias("size"))
+    membership = marks.join(classes, ["layer", "mark"]).select("layer", "node", "class", "size")
+    named = classes.select("layer", F.col("class").alias("node"), F.col("class"), "size")
+    return membership, members.join(named, ["layer", "node"]).select("layer", "class", "size", "rep", "meta_community")
+
+
+def class_co_assignment(members: DataFrame, n_completed: int) -> tuple[DataFrame, DataFrame]:
+    """``co_assignment`` between classes of nodes alike in all replicates, and the membership beside it.
+
+    Returns similarity(layer, class_a, class_b, size_a, size_b, pairs, p) for
+    class_a <= class_b, where ``pairs`` counts the node pairs of the two classes,
+    and membership(layer, node, class, size).  No pair of nodes is listed:
+    stable communities give few classes whatever their size.  Classes never together
+    are left out, as is a class of one with itself.
+    """
+    membership, labels = label_classes(members)
+    key = ["layer", "rep", "meta_community"]
+    a = labels.select(*key, F.col("class").alias("class_a"), F.col("size").alias("size_a"))
+    b = labels.select(*key, F.col("class").alias("class_b"), F.col("size").alias("size_b"))
+    together = (
+        a.join(b, key).where("class_a <= class_b").groupBy("layer", "class_a", "class_b", "size_a", "size_b")
+        .agg((F.count(F.lit(1)) / n_completed).alias("p"))
+    )
+    pairs = F.when(F.col("class_a") == F.col("class_b"), F.expr("size_a * (size_a - 1) div 2")).otherwise(F.col("size_a") * F.col("size_b")).cast("bigint")
+    found = together.withColumn("pairs", pairs).where("pairs > 0")
+    return found.select("layer", "class_a", "class_b", "size_a", "size_b", "pairs", "p"), membership
+
+
+def expanded(similarity: DataFrame, membership: DataFrame) -> DataFrame:
+    """The rows of ``co_assignment`` (layer, i, j, p) of what ``class_co_assignment`` gives; as many as there are pairs."""
+    a = membership.select("layer", F.col("class").alias("class_a"), F.col("node").alias("u"))
+    b = membership.select("layer", F.col("class").alias("class_b"), F.col("node").alias("v"))
+    both = similarity.select("layer", "class_a", "class_b", "p").join(a, ["layer", "class_a"]).join(b, ["layer", "class_b"])
+    return both.where("class_a <> class_b or u < v").select("layer", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "p")
+
+
 def intervals(coassign: DataFrame, n_completed: int, alpha: float = 0.05) -> DataFrame:
     if n_completed <= 0:
         raise ValueError("no completed replicates")

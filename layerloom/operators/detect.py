@@ -15,6 +15,15 @@ from .graph import fallback_labels, supra_edges
 from .kernels.communities import detect
 
 
+#: Edges of one group that a task takes; larger layers are for ``detect_large``.
+MOST_EDGES = 5_000_000
+
+
+def _refuse_large(group: pd.DataFrame) -> None:
+    if len(group) > MOST_EDGES:
+        raise ValueError(f"{len(group)} edges in one group, more than {MOST_EDGES}: use detect_large")
+
+
 def _fresh(df: DataFrame) -> DataFrame:
     """The same rows under new column identities: both sides of a cogroup may stem from one table."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -62,6 +71,7 @@ def detect_layers(
     as_directed = directed and algorithm == "leiden"
 
     def work(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        _refuse_large(e)
         n = n.sort_values("node")
         names = n["node"].tolist()
         rows = sorted(zip(e["src"].tolist(), e["dst"].tolist(), e["weight"].tolist(), strict=True))
@@ -98,6 +108,7 @@ def detect_meta(
         vertices, lines = vertices.withColumn("__all", F.lit(1)), lines.withColumn("__all", F.lit(1))
 
     def work(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        _refuse_large(e)
         v = v.sort_values(where)
         names = list(zip(v["layer"], v["community"], strict=True))
         rows: dict[tuple, float] = {}
@@ -140,6 +151,7 @@ def detect_multislice(
         v, lines = v.withColumn("__all", F.lit(1)), lines.withColumn("__all", F.lit(1))
 
     def work(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        _refuse_large(e)
         n = n.sort_values(["layer", "node"])
         names = list(zip(n["layer"], n["node"], strict=True))
         rows = sorted(((a, b), (c, d), w) for a, b, c, d, w in zip(*(e[x] for x in ("layer_a", "node_a", "layer_b", "node_b", "weight")), strict=True))

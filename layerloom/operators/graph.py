@@ -50,6 +50,35 @@ def modularity(membership: DataFrame, edges: DataFrame, resolution: float = 1.0,
     return membership.select(*key).distinct().join(q, key, "left")
 
 
+def incidence_strengths(nodes: DataFrame, incidence: DataFrame, group: list[str]) -> DataFrame:
+    """``strengths`` of the graph that joins all nodes of a group, from incidence(layer, group..., node), rows distinct.
+
+    The weight of a pair is the number of groups it shares, so a node gains a
+    group's other members; no pair is listed.
+    """
+    size = incidence.groupBy("layer", *group).agg((F.count(F.lit(1)) - 1).alias("others"))
+    total = incidence.join(size, ["layer", *group]).groupBy("layer", "node").agg(F.sum("others").cast("double").alias("strength"))
+    return nodes.join(total, ["layer", "node"], "left").select("layer", "node", F.coalesce("strength", F.lit(0.0)).alias("strength"))
+
+
+def incidence_modularity(membership: DataFrame, incidence: DataFrame, group: list[str], resolution: float = 1.0) -> DataFrame:
+    """``modularity`` of the graph that joins all nodes of a group.
+
+    Of the n members of a group, m of one community share m * (m - 1) / 2
+    edges inside it and bring it a degree of m * (n - 1).  Nodes without a
+    community take no part.
+    """
+    held = incidence.join(membership.select("layer", "node", "community"), ["layer", "node"])
+    cell = held.groupBy("layer", *group, "community").agg(F.count(F.lit(1)).alias("m"))
+    size = cell.groupBy("layer", *group).agg(F.sum("m").alias("n"))
+    per = cell.join(size, ["layer", *group]).groupBy("layer", "community").agg(
+        F.sum(F.col("m") * (F.col("n") - 1)).cast("double").alias("degree"), F.sum(F.col("m") * (F.col("m") - 1)).cast("double").alias("twice")
+    )
+    total = per.groupBy("layer").agg(F.nullif(F.sum("degree"), F.lit(0.0)).alias("m2"))
+    q = per.join(total, "layer").groupBy("layer").agg(F.sum(F.col("twice") / F.col("m2") - resolution * F.pow(F.col("degree") / F.col("m2"), F.lit(2))).alias("modularity"))
+    return membership.select("layer").distinct().join(q, "layer", "left")
+
+
 def summary(membership: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Communities per layer: how many, the largest, the smallest, the largest's share."""
     per = membership.groupBy(*by, "layer", "community").agg(F.count(F.lit(1)).alias("size"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.portable import ratio
+from ..sources.workspace import Workspace
+from .ranks import best_before
 
 
 def contingency(labels: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
@@ -162,8 +164,7 @@ def roll_up(runs: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 def pareto(rows: DataFrame, low: str, high: str) -> DataFrame:
     """Rows that no other beats in both: strictly smaller ``low`` and strictly larger ``high``."""
     best = rows.groupBy(low).agg(F.max(high).alias("top"))
-    before = Window.orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
-    edge = best.withColumn("edge", F.max("top").over(before)).select(low, "edge")
+    edge = best_before(best, low, "top", Workspace(rows.sparkSession, "pareto").put)
     return rows.join(edge, low).where(F.col("edge").isNull() | (F.col(high) >= F.col("edge"))).select(*rows.columns)
 
 

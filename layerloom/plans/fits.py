@@ -14,7 +14,9 @@ from ..operators import graph as G
 from ..operators import simulate as S
 from ..operators import ties as T
 from ..operators import track as K
+from ..operators.redraw import redraw_sparse
 from ..sources.layers import LayerSet, from_matrices
+from ..sources.workspace import Workspace
 
 FITS = ("jaccard", "overlap", "weighted_jaccard", "weighted_overlap", "identity")
 
@@ -57,7 +59,8 @@ def _base(spark, layers, algorithm, layer_links, resolution, directed, objective
     directed = layers.directed or directed
     effective = D.objective_for(algorithm, objective, directed)
     links = L.make(spark, layers.n_layers, layer_links)
-    membership = D.detect_layers(layers.nodes, layers.edges, algorithm, resolution, directed, objective, seed).persist()
+    membership = D.detect_layers(layers.nodes, layers.edges, algorithm, resolution, directed, objective, seed)
+    membership = Workspace(spark, "fit").put("membership", membership)
     q = G.modularity(membership, layers.edges)
     if directed or effective == "cpm":
         q = q.withColumn("modularity", F.lit(None).cast("double"))
@@ -148,10 +151,11 @@ def bootstrap_multilayer(spark, layers, fit_type="jaccard", algorithm="leiden",
     fit = _fit_function(fit_type)(spark, layers, algorithm=algorithm, layer_links=layer_links, resolution_parameter=resolution_parameter, directed=directed, objective=objective, seed=123 if seed is None else seed, **options)
     s = 123 if seed is None else seed
     by = ("rep",)
-    edges = B.redraw(spark, layers.nodes, layers.edges, fit.membership, n_boot, s, fit.directed).persist()
+    work = Workspace(spark, "bootstrap")
+    edges = work.put("edges", redraw_sparse(spark, layers.nodes, layers.edges, fit.membership, n_boot, s, fit.directed))
     reps = spark.range(1, n_boot + 1).select(F.col("id").cast("int").alias("rep"))
     nodes = layers.nodes.crossJoin(F.broadcast(reps)).select("rep", "layer", "node")
-    member = D.detect_layers(nodes, edges, algorithm, resolution_parameter, fit.directed, objective, s, by, check=False).persist()
+    member = work.put("member", D.detect_layers(nodes, edges, algorithm, resolution_parameter, fit.directed, objective, s, by, check=False))
     if fit_type == "identity":
         ties = T.identity_ties(nodes, fit.links, by)
         meta = D.detect_multislice(nodes, edges, ties, algorithm, omega, resolution_parameter, s, by)
@@ -160,7 +164,7 @@ def bootstrap_multilayer(spark, layers, fit_type="jaccard", algorithm="leiden",
         ties = T.community_ties(member, fit.links, fit_type, min_similarity, strengths, by=by)
         ties = ties.unionByName(T.self_loops(member, fit.links, 1.0, min_similarity, fit.directed, by))
         _, meta = D.detect_meta(member, ties, algorithm, resolution_parameter, s, by)
-    meta = meta.persist()
+    meta = work.put("meta", meta)
     q = G.modularity(member, edges, by=by)
     if fit.directed or objective == "cpm":
         q = q.withColumn("modularity", F.lit(None).cast("double"))

@@ -11,14 +11,17 @@ from .functions import links as L
 from .functions.portable import uniform, wilson
 from .operators import bootstrap as B
 from .operators import detect as D
+from .operators import detect_large as DL
 from .operators import graph as G
 from .operators import metrics as M
+from .operators import redraw as R
 from .operators import simulate as S
 from .operators import ties as T
 from .operators import track as K
 from .plans import fits, study
 from .sources import layers as Y
 from .sources import storage
+from .sources.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -232,7 +235,7 @@ t AS (SELECT layer, sum(degree) AS m2 FROM c GROUP BY 1)
 SELECT l.layer, round(q, 6) AS modularity FROM (SELECT DISTINCT layer FROM m) l LEFT JOIN (SELECT layer, sum(2 * inside / m2 - (degree / m2) ** 2) AS q FROM c JOIN t USING (layer) GROUP BY 1) q USING (layer)""",
 )
 def modularity_by_layer(spark, d):
-    return rounded(G.modularity(Y.event_membership(spark, d), Y.event_edges(spark, d)), "modularity")
+    return rounded(G.incidence_modularity(Y.event_membership(spark, d), Y.event_incidence(spark, d), Y.EVENT_GROUP), "modularity")
 
 
 @query(
@@ -315,8 +318,9 @@ SELECT from_layer, to_layer, from_community, to_community, round(sim, 6) AS simi
 
 
 def _weighted(spark, d, metric):
-    m, e = Y.event_membership(spark, d), Y.event_edges(spark, d)
-    return rounded(T.community_ties(m, links(spark), metric, strengths=G.strengths(m, e)), *TIE_VALUES)
+    m = Y.event_membership(spark, d)
+    strengths = G.incidence_strengths(m, Y.event_incidence(spark, d), Y.EVENT_GROUP)
+    return rounded(T.community_ties(m, links(spark), metric, strengths=strengths), *TIE_VALUES)
 
 
 @query("weighted_jaccard_ties", _weighted_sql("num / (fmx + tmx - bmx)"))
@@ -514,6 +518,30 @@ def bootstrap_redraw(spark, d):
     return B.redraw(spark, m, Y.event_edges(spark, d), m, 3, 7)
 
 
+@query(
+    "redraw_sparse_blocks",
+    f"""WITH {MODEL} SELECT layer, 100::BIGINT AS replicates, din::BIGINT AS pairs_in, (dall - din)::BIGINT AS pairs_out, true AS in_near, true AS out_near, true AS distinct_pairs FROM dy JOIN pm USING (layer)""",
+)
+def redraw_sparse_blocks(spark, d):
+    """100 redraws by skips: the edges inside and between communities lie within four deviations of the model, and none comes twice."""
+    work = Workspace(spark, "redraw-blocks")
+    m, e = work.put("membership", Y.event_membership(spark, d)), work.put("edges", Y.event_edges(spark, d))
+    drawn = work.put("drawn", R.redraw_sparse(spark, m, e, m, 100, 7))
+    a, b = m.select("layer", F.col("node").alias("src"), F.col("community").alias("ca")), m.select("layer", F.col("node").alias("dst"), F.col("community").alias("cb"))
+    same = (F.col("ca") == F.col("cb")).cast("bigint")
+    rows = drawn.join(a, ["layer", "src"]).join(b, ["layer", "dst"]).groupBy("layer").agg(
+        F.count_distinct("rep").alias("replicates"), F.sum(same).alias("x_in"), F.sum(1 - same).alias("x_out"), F.every(F.col("src") < F.col("dst")).alias("ordered")
+    )
+    once = drawn.groupBy("layer", "rep", "src", "dst").agg(F.count(F.lit(1)).alias("n")).groupBy("layer").agg((F.max("n") == 1).alias("once"))
+    size = m.groupBy("layer", "community").agg(F.count(F.lit(1)).alias("s")).groupBy("layer").agg(
+        F.sum(F.expr("s * (s - 1) div 2")).alias("pairs_in"), F.sum("s").alias("n")
+    ).withColumn("pairs_out", F.expr("n * (n - 1) div 2 - pairs_in"))
+    near = lambda x, n, p: F.abs(F.col(x) - 100 * F.col(n) * F.col(p)) <= 4 * F.sqrt(100 * F.col(n) * F.col(p) * (1 - F.col(p))) + 1e-6
+    return size.join(B.edge_model(m, e, m), "layer").join(rows, "layer").join(once, "layer").select(
+        "layer", "replicates", "pairs_in", "pairs_out", near("x_in", "pairs_in", "p_in").alias("in_near"), near("x_out", "pairs_out", "p_out").alias("out_near"), (F.col("once") & F.col("ordered")).alias("distinct_pairs")
+    )
+
+
 @query(
     "evolving_partition",
     f"""WITH g AS (SELECT n.i::INT AS node, l.i::INT AS layer FROM range(1, 61) n(i), range(1, 7) l(i)),
@@ -554,6 +582,28 @@ def co_assignment(spark, d):
     return rounded(B.co_assignment(replicates(spark, d), 40), "p")
 
 
+@query("co_assignment_by_classes", f"WITH {TOGETHER} SELECT layer, i, j, round(p, 6) AS p FROM ca")
+def co_assignment_by_classes(spark, d):
+    return rounded(B.expanded(*B.class_co_assignment(replicates(spark, d), 40)), "p")
+
+
+@query(
+    "event_class_co_assignment",
+    f"""WITH {MEMBERS}, mm AS (SELECT layer, event_type AS rep, node, least(count(*), 3)::INT AS meta_community FROM ev GROUP BY layer, event_type, node),
+marks AS (SELECT layer, node, string_agg(rep || '=' || meta_community, ',' ORDER BY rep) AS mark FROM mm GROUP BY ALL),
+cl AS (SELECT layer, mark, min(node) AS class, count(*) AS size FROM marks GROUP BY ALL),
+lab AS (SELECT cl.layer, class, size, rep, meta_community FROM cl JOIN mm ON mm.layer = cl.layer AND mm.node = class),
+pr AS (SELECT a.layer, a.class AS class_a, b.class AS class_b, a.size AS size_a, b.size AS size_b, count(*) / 5.0 AS p FROM lab a JOIN lab b ON a.layer = b.layer AND a.rep = b.rep AND a.meta_community = b.meta_community AND a.class <= b.class GROUP BY ALL)
+SELECT layer, class_a, class_b, size_a, size_b, (CASE WHEN class_a = class_b THEN size_a * (size_a - 1) // 2 ELSE size_a * size_b END)::BIGINT AS pairs, round(p, 6) AS p FROM pr
+WHERE class_a <> class_b OR size_a > 1""",
+)
+def event_class_co_assignment(spark, d):
+    """Event types as replicates: users grouped by how often they meet a type in a week, and how alike these groups are."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(Y.week_of(F.col("ts")).alias("layer"), F.col("event_type").alias("rep"), F.col("user_id").alias("node"))
+    members = e.groupBy("layer", "rep", "node").agg(F.least(F.count(F.lit(1)), F.lit(3)).cast("int").alias("meta_community"))
+    return rounded(B.class_co_assignment(members, 5)[0], "p")
+
+
 def _wilson_sql() -> str:
     z2 = "3.841458820694124"
     base, z = f"(1 + {z2} / 40)", "1.959963984540054"
@@ -723,6 +773,29 @@ def resolution_limit(spark, d):
     )
 
 
+@query(
+    "distributed_copart",
+    """WITH li AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+e AS (SELECT DISTINCT (year(o_orderdate) - 1994)::INT AS layer, a.l_partkey AS src FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey JOIN orders ON a.l_orderkey = o_orderkey)
+SELECT layer, count(*) AS nodes, count(*) AS labelled, true AS numbered, true AS beats_classes FROM e GROUP BY 1""",
+)
+def distributed_copart(spark, d):
+    """Invariants of a partition that no engine gives twice: all nodes labelled once, numbered by smallest member, better than any classes of 19."""
+    work = Workspace(spark, "distributed-copart")
+    e = work.put("edges", Y.copart_edges(spark, d))
+    n = work.put("nodes", e.select("layer", F.col("src").alias("node")).unionByName(e.select("layer", F.col("dst").alias("node"))).distinct())
+    m = work.put("membership", DL.detect_large(n, e))
+    first = m.groupBy("layer", "community").agg(F.min("node").alias("first"))
+    later = first.select("layer", (F.col("community") - 1).alias("community"), F.col("first").alias("next"))
+    named = first.join(later, ["layer", "community"], "left").groupBy("layer").agg(
+        ((F.max("community") == F.count(F.lit(1))) & F.every(F.coalesce(F.col("first") < F.col("next"), F.col("community") > 0)) & (F.count("next") == F.count(F.lit(1)) - 1)).alias("numbered")
+    )
+    classes = n.withColumn("community", (F.col("node") % 19).cast("int"))
+    better = G.modularity(m, e).select("layer", F.col("modularity").alias("q")).join(G.modularity(classes, e), "layer").select("layer", (F.col("q") > F.col("modularity")).alias("beats_classes"))
+    per = n.groupBy("layer").agg(F.count(F.lit(1)).alias("nodes"))
+    return per.join(n.join(m, ["layer", "node"]).groupBy("layer").agg(F.count("community").alias("labelled")), "layer").join(named, "layer").join(better, "layer")
+
+
 @query("meta_cliques", META_CLIQUES)
 def meta_cliques(spark, d):
     return fits.fit_multilayer_jaccard(spark, region_layers(spark, d)).meta

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranks import dense
+from .workspace import Workspace
+
 EDGES = "layer int, src {t}, dst {t}, weight double"
 
 
@@ -77,7 +80,8 @@ def validated(layers: LayerSet) -> LayerSet:
 def canonical(layers: LayerSet) -> LayerSet:
     """Node ids 1..n in the order of the labels; labels are kept where they differ from the ids."""
     universe = layers.nodes.select("node").distinct()
-    ids = universe.select("node", F.dense_rank().over(Window.orderBy("node")).cast("int").alias("id"))
+    work = Workspace(universe.sparkSession, "canonical")
+    ids = work.put("ids", dense(universe, "node", work.put).select("node", F.col("id").cast("int").alias("id")))
     if not ids.where(F.col("node").cast("string") != F.col("id").cast("string")).isEmpty():
         nodes = layers.nodes.join(ids, "node").select("layer", F.col("id").alias("node"))
         a = ids.select(F.col("node").alias("src"), F.col("id").alias("a"))
@@ -211,12 +215,21 @@ def event_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("layer", "node", F.col("t.event_type").alias("event_type")).join(kinds, "event_type").select("layer", "node", "community")
 
 
-def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of the same event type on the same day, by week: weight counts (day, type) pairs."""
-    e = _read(spark, sf_dir, "events").select(
+#: What two users share to be joined by an edge.
+EVENT_GROUP = ["d", "event_type"]
+
+
+def event_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(layer, d, event_type, node): the users of an event type on a day, by week; ``event_edges`` lists their pairs."""
+    return _read(spark, sf_dir, "events").select(
         week_of(F.col("ts")).alias("layer"), F.to_date("ts").alias("d"), "event_type", F.col("user_id").alias("node")
     ).distinct()
-    key = ["layer", "d", "event_type"]
+
+
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of the same event type on the same day, by week: weight counts (day, type) pairs."""
+    e = event_incidence(spark, sf_dir)
+    key = ["layer", *EVENT_GROUP]
     b = e.select(*key, F.col("node").alias("dst"))
     return (
         e.withColumnRenamed("node", "src").join(b, key).where("src < dst")
