@@ -14,14 +14,16 @@ from .operators import detect as D
 from .operators import detect_large as DL
 from .operators import graph as G
 from .operators import metrics as M
+from .operators import model_choice as MC
 from .operators import redraw as R
 from .operators import simulate as S
 from .operators import ties as T
 from .operators import track as K
-from .plans import fits, study
+from .plans import empirical, fits, study
 from .sources import layers as Y
 from .sources import storage
 from .sources.workspace import Workspace
+from .streaming import counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -604,6 +606,103 @@ def event_class_co_assignment(spark, d):
     return rounded(B.class_co_assignment(members, 5)[0], "p")
 
 
+# Choice of a block model, a study in stages, a stream.
+
+
+PART_MODELS = {"brand": "p_brand", "kind": "p_type", "size": "p_size"}
+
+
+@query(
+    "block_model_choice",
+    """WITH li AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+e AS (SELECT DISTINCT (year(o_orderdate) - 1994)::INT AS layer, a.l_partkey AS src, b.l_partkey AS dst FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey JOIN orders ON a.l_orderkey = o_orderkey),
+v AS (SELECT DISTINCT layer, unnest([src, dst]) AS node FROM e),
+c AS ("""
+    + " UNION ALL ".join(f"SELECT '{m}' AS model, layer, node, {c}::VARCHAR AS community FROM v JOIN part ON p_partkey = node" for m, c in PART_MODELS.items())
+    + """), s AS (SELECT model, layer, community, count(*) AS s FROM c GROUP BY ALL),
+n AS (SELECT model, layer, sum(s) AS n, count(*) AS k FROM s GROUP BY ALL),
+sh AS (SELECT model, layer, sum(s.s * ln(s.s / n.n)) AS sh FROM s JOIN n USING (model, layer) GROUP BY ALL),
+bl AS (SELECT a.model, a.layer, least(a.community, b.community) AS q, greatest(a.community, b.community) AS r, count(*) AS m FROM e JOIN c a ON a.layer = e.layer AND a.node = src JOIN c b ON b.layer = e.layer AND b.node = dst AND b.model = a.model GROUP BY ALL),
+bp AS (SELECT bl.model, bl.layer, m, CASE WHEN q = r THEN sq.s * (sq.s - 1) / 2.0 ELSE sq.s * sr.s END::DOUBLE AS pairs FROM bl JOIN s sq ON sq.model = bl.model AND sq.layer = bl.layer AND sq.community = q JOIN s sr ON sr.model = bl.model AND sr.layer = bl.layer AND sr.community = r),
+br AS (SELECT model, layer, sum(m * ln(m / pairs) + CASE WHEN pairs > m THEN (pairs - m) * ln((pairs - m) / pairs) ELSE 0 END) AS rates FROM bp GROUP BY ALL),
+i AS (SELECT model, layer, k, rates + sh - k * (k + 1) / 4.0 * ln(n * (n - 1) / 2.0) - (k - 1) / 2.0 * ln(n) AS icl FROM n JOIN sh USING (model, layer) JOIN br USING (model, layer))
+SELECT layer, model, k, round(icl, 3) AS icl, row_number() OVER (PARTITION BY layer ORDER BY icl DESC, k, model) = 1 AS chosen FROM i""",
+)
+def block_model_choice(spark, d):
+    """Attributes of parts as block models of the parts ordered together, scored per year; the best one is chosen."""
+    work = Workspace(spark, "block-models")
+    e = work.put("edges", Y.copart_edges(spark, d))
+    n = e.select("layer", F.col("src").alias("node")).unionByName(e.select("layer", F.col("dst").alias("node"))).distinct()
+    p = spark.read.parquet(f"{d}/part.parquet")
+    models = F.explode(F.create_map(*[x for m, c in PART_MODELS.items() for x in (F.lit(m), F.col(c).cast("string"))]))
+    blocks = n.join(p.select(F.col("p_partkey").alias("node"), models.alias("model", "community")), "node")
+    scores = work.put("scores", MC.icl(blocks, e))
+    best = MC.best_model(scores, ["model"]).select("layer", F.col("model").alias("best"))
+    return rounded(scores.join(best, "layer").select("layer", "model", "k", "icl", (F.col("model") == F.col("best")).alias("chosen")), "icl", places=3)
+
+
+#: Partitions that any engine gives alike.
+RULES = {"drift": "((node + CASE WHEN (node + layer) % 3 = 0 THEN layer ELSE 0 END) % 4)", "fifths": "(node % 5)", "parity": "(node % 2)"}
+STUDY = (
+    f"""{TRADE}, li AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+e AS (SELECT 'trade' AS network, layer, src::BIGINT AS src, dst::BIGINT AS dst, weight FROM trade UNION ALL
+  SELECT 'copart', (year(o_orderdate) - 1994)::INT, a.l_partkey, b.l_partkey, count(*)::DOUBLE FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey JOIN orders ON a.l_orderkey = o_orderkey GROUP BY ALL),
+v AS (SELECT 'trade' AS network, layer, node::BIGINT AS node FROM tnodes UNION ALL SELECT DISTINCT 'copart', layer, unnest([src, dst]) FROM e WHERE network = 'copart'),
+p AS ("""
+    + " UNION ALL ".join(f"SELECT network, '{m}' AS method, layer, node, {rule}::INT AS community FROM v" for m, rule in RULES.items())
+    + ")"
+)
+
+
+def _study_sql() -> str:
+    sizes = "SELECT network, method, layer, community, count(*) AS n FROM p GROUP BY ALL"
+    ends = """SELECT e.network, a.method, e.layer, a.community AS ca, b.community AS cb, weight FROM e JOIN p a ON a.network = e.network AND a.layer = e.layer AND a.node = src
+  JOIN p b ON b.network = e.network AND b.method = a.method AND b.layer = e.layer AND b.node = dst"""
+    cells = """SELECT network, method, layer, community, sum(weight) AS degree, sum(inside) AS inside FROM (SELECT network, method, layer, ca AS community, weight, CASE WHEN ca = cb THEN weight ELSE 0 END AS inside FROM x UNION ALL SELECT network, method, layer, cb, weight, 0 FROM x) GROUP BY ALL"""
+    agree = _nmi_sql("k AS (SELECT x.network, x.layer, x.method AS method1, y.method AS method2, x.community AS a, y.community AS b FROM p x JOIN p y ON x.network = y.network AND x.layer = y.layer AND x.node = y.node AND x.method < y.method)", "network, layer, method1, method2")
+    stay = _nmi_sql("k AS (SELECT x.network, x.method, x.layer, x.community AS a, y.community AS b FROM p x JOIN p y ON x.network = y.network AND x.method = y.method AND y.layer = x.layer + 1 AND y.node = x.node)", "network, method, layer")
+    return f"""WITH {STUDY}, sz AS ({sizes}), x AS ({ends}), cells AS ({cells}), m2 AS (SELECT network, method, layer, sum(degree) AS m2 FROM cells GROUP BY ALL)
+SELECT 'sizes' AS stage, network, method, NULL::VARCHAR AS other, layer, round(max(n) / sum(n), 6) AS value FROM sz GROUP BY ALL
+UNION ALL SELECT 'quality', network, method, NULL, layer, round(sum(2 * inside / m2 - (degree / m2) ** 2), 6) FROM cells JOIN m2 USING (network, method, layer) GROUP BY network, method, layer
+UNION ALL SELECT 'agreement', network, method1, method2, layer, nmi FROM ({agree})
+UNION ALL SELECT 'persistence', network, method, NULL, layer, nmi FROM ({stay})"""
+
+
+@query("study_stages", _study_sql())
+def study_stages(spark, d):
+    """A whole study of two networks, with partitions that SQL can give too; its stages as one table."""
+    work = Workspace(spark, "study")
+    e = work.put("copart", Y.copart_edges(spark, d))
+    n = work.put("parts", e.select("layer", F.col("src").alias("node")).unionByName(e.select("layer", F.col("dst").alias("node"))).distinct())
+    y = Y.trade_layers(spark, d)
+    trade = Y.LayerSet(y.nodes.select("layer", F.col("node").cast("bigint").alias("node")), work.put("trade", y.edges.select("layer", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "weight")), y.n_layers)
+    rules = {m: (lambda _, net, r=rule: net.nodes.select("layer", "node", F.expr(f"cast({r} AS int)").alias("meta_community"))) for m, rule in RULES.items()}
+    out = empirical.study(spark, {"trade": trade, "copart": Y.LayerSet(n, e, y.n_layers)}, f"{work.root}/stages", rules)
+    none = F.lit(None).cast("string")
+    line = lambda stage, method, other, value: out[stage].select(F.lit(stage).alias("stage"), "network", F.col(method).alias("method"), other.alias("other"), "layer", F.round(value, 6).alias("value"))
+    return (
+        line("sizes", "method", none, F.col("pct_largest"))
+        .unionByName(line("quality", "method", none, F.col("modularity")))
+        .unionByName(line("agreement", "method1", F.col("method2"), F.col("nmi")))
+        .unionByName(line("persistence", "method", none, F.col("nmi")))
+    )
+
+
+@query("study_of_fits")
+def study_of_fits(spark, d):
+    """The fits of the library on the trade layers, stage by stage: agreement of every two of them in every year."""
+    return empirical.study(spark, {"trade": Y.trade_layers(spark, d)}, f"{Workspace(spark, 'study').root}/stages")["agreement"]
+
+
+@query("streamed_membership", f"WITH {MEMBERS} SELECT layer, node, event_type, n FROM top")
+def streamed_membership(spark, d):
+    """``event_membership`` from a stream with a watermark and a state store, over all events."""
+    work = Workspace(spark, "stream")
+    counts.land(spark.read.parquet(f"{d}/events.parquet"), f"{work.root}/landing")
+    counts.follow(spark, f"{work.root}/landing", f"{work.root}/counts")
+    return counts.weekly_membership(spark, f"{work.root}/counts")
+
+
 def _wilson_sql() -> str:
     z2 = "3.841458820694124"
     base, z = f"(1 + {z2} / 40)", "1.959963984540054"
