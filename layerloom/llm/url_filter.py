@@ -1,12 +1,13 @@
 """URL filters by rules and, where no rule fits, by a tree of path templates per host.
 
 Templates generalise the variable segments of a path: digits become ``{n}``,
-and a segment stays literal where it carries a sizeable share of its parent's
-pages or holds both blocked and other pages.  The others are pooled, those
-with only blocked pages apart from those with none, so no pool mixes the two.
-Sibling branches whose blocked shares do not differ significantly are merged.
-A template is rejected where the share of pages that rules block among all its
-pages, smoothed towards its branch and that towards all pages, is high.
+and segments that each carry few of their parent's pages become one wildcard,
+with or without blocked pages, as long as they are alike: a segment whose
+blocked share, or whose paths below, differ significantly from those of the other
+small ones stays literal.  Sibling branches whose blocked shares do not differ
+significantly are merged.  A template is rejected where the share of pages that
+rules block among all its pages, smoothed towards its branch and that towards
+all pages, is high: then pages that no rule names are blocked with the rest.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ Rule = tuple[str, str, str]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Least levels of the tree, which goes on to the deepest rule; what lies deeper shares the last level's node.
 DEPTH = 4
-#: Pools of segments with few pages: none of them blocked, all of them blocked.
-CLEAN, BLOCKED = "*", "*!"
+#: The pool of a node's variable segments.
+WILDCARD = "*"
+#: Shares in which small segments must agree to be one wildcard: blocked pages, pages that end here, numbers that follow.
+AGREEING = ("blocked", "ends", "numbers")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -59,37 +62,48 @@ def segments(path: Column, depth: int) -> Column:
     return F.concat(F.slice(parts, 1, depth), F.when(F.size(parts) > depth, F.array(F.lit("**"))).otherwise(F.array()))
 
 
-def template_tree(shapes: DataFrame, depth: int, min_share: float, min_count: int, scratch: Scratch) -> DataFrame:
+def differs(x: Column, n: Column, y: Column, m: Column, z: float) -> Column:
+    """Whether x of n and y of m are shares of two kinds: two proportions, a success and a failure added to each, which keeps single pages from telling."""
+    p, q = (x + 1) / (n + 2), (y + 1) / (m + 2)
+    return F.abs(p - q) > z * F.sqrt(p * (1 - p) / (n + 2) + q * (1 - q) / (m + 2))
+
+
+def template_tree(shapes: DataFrame, depth: int, min_share: float, min_count: int, scratch: Scratch, z: float = 2.576) -> DataFrame:
     """shapes (host, shape, segs, n, labelled, blocked) with a template for each row.
 
     Works on the aggregate over (host, shape).  At each level the children of a
     node (host, prefix so far) are counted.  Literal stay those with
-    ``min_share`` of its pages and at least ``min_count``, and those of which
-    rules block some pages but not all.  The rest become ``*`` where no page
-    is blocked and ``*!`` where every page is.
+    ``min_share`` of its pages and at least ``min_count``.  Of the others, which
+    may be any number, each is compared with all the rest; those that differ in
+    one of AGREEING stay literal too, as does an only one, and the rest become ``*``.
     """
     grown = shapes.withColumn("prefix", F.lit(""))
+    node = ["host", "prefix"]
     for level in range(depth + 1):
-        seg = F.get("segs", F.lit(level))
-        here = grown.withColumn("seg", seg)
-        children = here.where("seg is not null").groupBy("host", "prefix", "seg").agg(F.sum("n").alias("c"), F.sum("blocked").alias("b"))
-        nodes = here.where("seg is not null").groupBy("host", "prefix").agg(F.sum("n").alias("all"))
-        large = (F.col("c") >= min_count) & (F.col("c") >= F.lit(min_share) * F.col("all"))
-        mixed = (F.col("b") > 0) & (F.col("b") < F.col("c"))
-        named = scratch.put(
-            f"named{level}",
-            children.where((F.col("c") >= min_count) | (F.col("b") > 0))
-            .join(nodes, ["host", "prefix"])
-            .where(large | (F.col("b") > 0))
-            .select("host", "prefix", "seg", F.when(large | mixed, F.col("seg")).otherwise(BLOCKED).alias("name")),
+        here = grown.withColumn("seg", F.get("segs", F.lit(level)))
+        ends = F.when(F.size("segs") == level + 1, F.col("n")).otherwise(0)
+        numbers = F.when(F.coalesce(F.contains(F.get("segs", F.lit(level + 1)), F.lit("{n}")), F.lit(False)), F.col("n")).otherwise(0)
+        children = here.where("seg is not null").groupBy(*node, "seg").agg(
+            F.sum("n").alias("c"), F.sum("blocked").alias("blocked"), F.sum(ends).alias("ends"), F.sum(numbers).alias("numbers")
+        )
+        every = here.where("seg is not null").groupBy(*node).agg(F.sum("n").alias("all"))
+        sized = scratch.put(
+            f"children{level}",
+            children.join(every, node).withColumn("large", (F.col("c") >= min_count) & (F.col("c") >= F.lit(min_share) * F.col("all"))),
         )
+        small = sized.where(~F.col("large")).groupBy(*node).agg(F.sum("c").alias("pool"), *[F.sum(x).alias(f"pool_{x}") for x in AGREEING])
+        rest = F.col("pool") - F.col("c")
+        apart = rest == 0
+        for x in AGREEING:
+            apart = apart | differs(F.col(x), F.col("c"), F.col(f"pool_{x}") - F.col(x), rest, z)
+        named = scratch.put(f"named{level}", sized.join(small, node, "left").where(F.col("large") | apart).select(*node, "seg", F.col("seg").alias("name")))
         grown = scratch.put(
             f"grown{level}",
-            here.join(named, ["host", "prefix", "seg"], "left")
+            here.join(named, [*node, "seg"], "left")
             .withColumn(
                 "prefix",
                 F.when(F.col("seg").isNull(), F.col("prefix")).otherwise(
-                    F.concat("prefix", F.lit("/"), F.coalesce("name", F.lit(CLEAN)))
+                    F.concat("prefix", F.lit("/"), F.coalesce("name", F.lit(WILDCARD)))
                 ),
             )
             .drop("seg", "name"),
@@ -135,14 +149,19 @@ def filter_urls(
     min_count: int = 3,
     strength: float = 2.0,
     z: float = 1.96,
+    z_alike: float = 2.576,
     reject_at: float = 0.8,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, template, purity.
 
-    The prior is the share of all pages that rules block; a template without
-    blocked pages is allowed.
+    The prior is the share of all pages that rules block; a page without a rule
+    is blocked where its template's purity reaches ``reject_at``.  Segments are
+    alike unless a test at ``z_alike`` (one error in a hundred) tells them apart,
+    so that a single page joins a wildcard and two unlike it do not.
     Null and malformed urls have an empty host and path and are judged like
-    any other.  Repeated rows are judged each.
+    any other.  Repeated rows are judged each and count each; segments of equal
+    counts are told apart by name only.  Very long urls are read whole; an empty
+    table gives an empty result, and columns beside id and url are ignored.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
@@ -165,7 +184,7 @@ def filter_urls(
             F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"),
         ),
     )
-    tree = scratch.put("tree", template_tree(shapes, depth, min_share, min_count, scratch).drop("segs"))
+    tree = scratch.put("tree", template_tree(shapes, depth, min_share, min_count, scratch, z_alike).drop("segs"))
     totals = tree.agg(F.sum("n"), F.sum("blocked")).first()
     prior = totals[1] / totals[0] if totals[0] else 0.0
     templates = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,25 @@ def test_base_spans_are_exact(spark):
     assert pii.find(df.where("false")).count() == 0
 
 
+def test_many_matches_of_one_text_take_their_logarithm_times_as_long(spark):
+    numbers, prices = "12, " * 200_000, "a@b.de " * 20_000 + "token = 'abcdef123456' " * 5_000
+    rows = [(1, numbers + "+49 30 1234567"), (2, prices), (3, "12, +49 30 1234567 7")]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 120
+    assert [(s.kind, s.start, s.end) for s in got[1].base if s.kind == "phone"] == [("phone", 800_000, 800_014)]
+    assert [(s.kind, s.start, s.end) for s in got[3].base if s.kind == "phone"] == [("phone", 4, 20)]
+    assert [(s.start, s.end) for s in got[2].base] == [(7 * i, 7 * i + 6) for i in range(20_000)]
+    assert [(s.start, s.end) for s in got[2].spans if s.kind == "secret"] in ([], [(140_000 + 23 * i + 9, 140_000 + 23 * i + 21) for i in range(5_000)])
+
+
+def test_running_values(spark):
+    rows = spark.createDataFrame([([3, 1, 4, 1, 5, 9, 2, 6],), ([],), ([7],)], "v array<int>")
+    got = rows.select(pii.running(F.col("v"), lambda a, b: a + b).alias("s"), pii.running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m")).collect()
+    assert [r.s for r in got] == [[3, 4, 8, 9, 14, 23, 25, 31], [], [7]]
+    assert [r.m for r in got] == [[3, 3, 4, 4, 5, 9, 9, 9], [], [7]]
+
+
 def test_labelers_that_agree_are_believed():
     good, bad = (1, 1, 1, 1, 0), (-1, -1, -1, -1, -1)
     belief = pii.estimate([(good, 80), (bad, 60), ((1, 1, 0, 1, 0), 20), ((-1, 0, -1, 1, 0), 20)])
@@ -237,6 +257,68 @@ def test_rules_below_the_fourth_segment_label_their_own_template(spark):
     assert {r.page_id for r in got if r.verdict == "block"} == set(range(40))
 
 
+def plain_templates(urls, rules, min_share=0.02, min_count=3, z=2.576):
+    """Templates by a plain tree over single pages."""
+    pages = []
+    for u in urls:
+        host, path = re.match(r"[^:]*://([^/]*)(.*)", u).groups()
+        rule = max(((h, p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), key=lambda r: len(r[0] + r[1]), default=None)
+        pages.append([host, re.sub("[0-9]+", "{n}", path.removeprefix("/")).split("/"), "", bool(rule and rule[2] == "block")])
+
+    def apart(x, n, y, m):
+        p, q = (x + 1) / (n + 2), (y + 1) / (m + 2)
+        return abs(p - q) > z * (p * (1 - p) / (n + 2) + q * (1 - q) / (m + 2)) ** 0.5
+
+    for level in range(5):
+        groups = {}
+        for page in pages:
+            if len(page[1]) > level:
+                groups.setdefault((page[0], page[2]), {}).setdefault(page[1][level], []).append(page)
+        for children in groups.values():
+            total = sum(map(len, children.values()))
+            small = {s for s, of in children.items() if len(of) < min_count or len(of) < min_share * total}
+            traits = lambda of: [sum(p[3] for p in of), sum(len(p[1]) == level + 1 for p in of), sum(len(p[1]) > level + 1 and "{n}" in p[1][level + 1] for p in of)]
+            pool = [p for s in small for p in children[s]]
+            for s, of in list(children.items()):
+                rest = len(pool) - len(of)
+                alike = s in small and rest and not any(apart(x, len(of), y - x, rest) for x, y in zip(traits(of), traits(pool), strict=True))
+                for p in of:
+                    p.append("*" if alike else s)
+            for of in children.values():
+                for p in of:
+                    p[2] += "/" + p.pop()
+    return [p[2] for p in pages]
+
+
+def test_the_tree_equals_a_plain_one(spark):
+    rng = random.Random(12)
+    urls = []
+    for _ in range(1500):
+        host = rng.choice(["a.net", "b.net", "c.org"])
+        section = rng.choice(["user", "shop", "x", f"s{rng.choice('abcdefghij')}{rng.choice('klmnopqrst')}"])
+        slug = "".join(rng.choice("abcd") for _ in range(rng.choice([1, 4])))
+        urls.append(f"http://{host}/{section}/{slug}" + rng.choice(["", "/12", "/post", "/post/7"]))
+    rules = [("a.net", "/user/", "block"), ("b.net", "/sa", "block"), ("b.net", "/user/a", "block"), ("net", "/x/b", "allow")]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert {r.page_id: r.template for r in got} == dict(enumerate(plain_templates(urls, rules)))
+
+
+def test_a_wildcard_blocks_pages_that_no_rule_names(spark):
+    names = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmn"]
+    rules = [("h.net", f"/u/{name}/", "block") for name in names[:70]]
+    urls = [f"http://h.net/u/{name}/post" for name in names] + [f"http://h.net/help/{name}" for name in names]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert {got[i].template for i in range(75)} == {"/u/*/post"}
+    assert all(got[i].verdict == "block" for i in range(75)) and all(got[i].rule is None for i in range(70, 75))
+    assert {got[i].verdict for i in range(75, 150)} == {"allow"}
+
+
+def test_many_clean_pages_beside_a_blocked_section_are_allowed(spark):
+    urls = [f"http://h.net/s{chr(97 + s // 8)}{chr(97 + s % 8)}/p{i}" for s in range(60) for i in range(160)] + [f"http://h.net/fr/p{i}" for i in range(180)]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES)
+    assert {r.page_id for r in got.where("verdict = 'block'").collect()} == set(range(9600, 9780))
+
+
 def test_few_labels_do_not_block_a_template(spark):
     rules = [("h.net", "/x/p1", "block"), ("h.net", "/y/*", "block")]
     urls = ["http://h.net/x/p1"] + [f"http://h.net/x/p{i}" for i in range(20, 60)] + ["http://h.net/y/*", "http://h.net/y/a", "http://h.net/z/q"]
