@@ -15,6 +15,7 @@ reach the driver: 3^5 votes by 3^3 neighbourhoods per kind at most.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,24 +73,38 @@ SECRET_FOR = r"(?i)(?:api|access|auth|private|secret|token|password|passwd|pwd)[
 SECRET_AGAINST = r"(?i)(?:primary|foreign|public|sort|cache|partition|map)[ _-]?key[\"']?\s?[:=]\s?[\"']?$"
 
 
-def located(text: Column, found: Column, pattern: str) -> Column:
-    """The matches with their places: array<struct<start, end, m>>; places add up gaps and matches."""
-    gaps = F.split(text, pattern, -1)
-    sized = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("m")))
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-        F.array_append(
-            a["out"],
-            F.struct(
-                (a["at"] + x["gap"]).alias("start"),
-                (a["at"] + x["gap"] + F.length(x["m"])).alias("end"),
-                x["m"].alias("m"),
-            ),
-        ).alias("out"),
-    )
-    summed = F.aggregate(sized, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(F.size(found) > 0, summed).otherwise(none)
+#: Code points before a match that a labeler sees.
+SEEN_BEFORE = 40
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, maxima, ... of an array: each turn merges what stands twice as far back as in the turn before."""
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int"))
+    return F.aggregate(turns, values, lambda done, k: F.transform(done, lambda x, i: F.coalesce(merge(x, F.get(done, i - F.call_function("shiftleft", F.lit(1), k))), x)))
+
+
+def located(found: Column, gaps: Column) -> Column:
+    """The matches with their places and surroundings: array<struct<start, end, m, before, after>>.
+
+    ``gaps`` is the text around the matches, one more than these.  Places are
+    running sums and surroundings come from the nearest pieces, so that the
+    work grows with the matches times their logarithm; both columns must be
+    attributes, since a lambda evaluates what it mentions at every element.
+    """
+    lengths = F.zip_with(found, gaps, lambda m, g: F.coalesce(F.length(m), F.lit(0)) + F.length(g))
+    ends = running(lengths, lambda x, y: x + y)
+
+    def surrounded(m: Column, i: Column) -> Column:
+        # A match has at least two characters: twenty of them and the gaps between fill the view.
+        first = F.greatest(i - SEEN_BEFORE // 2, F.lit(0))
+        pieces = F.zip_with(F.slice(found, first + 1, i - first), F.slice(gaps, first + 1, i - first), lambda x, g: F.concat(F.right(g, F.lit(SEEN_BEFORE)), x))
+        before = F.concat(F.array_join(pieces, ""), F.right(F.get(gaps, i), F.lit(SEEN_BEFORE)))
+        after = F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), F.lit("")))
+        return F.struct(m.alias("m"), F.right(before, F.lit(SEEN_BEFORE)).alias("before"), F.left(after, F.lit(1)).alias("after"))
+
+    near = F.transform(found, surrounded)
+    placed = F.zip_with(near, ends, lambda x, e: F.struct((e - F.length(x["m"])).alias("start"), e.alias("end"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after")))
+    return F.slice(placed, F.lit(1), F.size(found))
 
 
 def luhn(digits: Column) -> Column:
@@ -119,16 +134,15 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def judged(text: Column, spans: Column, kind: str, base: bool) -> Column:
+def judged(spans: Column, kind: str, base: bool) -> Column:
     """Spans with their base flag and votes."""
     accepted = (lambda m: valid(kind, m)) if base else (lambda m: F.lit(False))
-    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), accepted(s["m"]).alias("base")))
+    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), s["before"].alias("before"), s["after"].alias("after"), accepted(s["m"]).alias("base")))
     speaks_for, against = (SECRET_FOR, SECRET_AGAINST) if kind == "secret" else (CONTEXT_FOR, CONTEXT_AGAINST)
 
     def vote(s: Column) -> Column:
-        before = F.substr(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40)))
-        left = F.when(s["start"] > 0, F.substr(text, s["start"], F.lit(1))).otherwise(" ")
-        right = F.substr(text, s["end"] + 1, F.lit(1))
+        before, right = s["before"], s["after"]
+        left = F.when(s["start"] > 0, F.right(before, F.lit(1))).otherwise(" ")
         size = s["end"] - s["start"]
         one = F.lit(1).cast("tinyint")
         mark = lambda yes, no: F.when(yes, one).when(no, -one).otherwise(F.lit(0).cast("tinyint"))
@@ -167,17 +181,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         *[F.when(F.contains("text", F.lit(HINTS[k])), all_of(p)).otherwise(nothing).alias(f"b_{k}") for k, p in PATTERNS.items()],
         *[all_of(p).alias(f"p_{k}") for k, p in PROPOSALS.items()],
     )
-    placed = found.select(
-        "doc_id",
-        "text",
-        *[located(F.col("text"), F.col(f"b_{k}"), p).alias(f"b_{k}") for k, p in PATTERNS.items()],
-        *[located(F.col("text"), F.col(f"p_{k}"), p).alias(f"p_{k}") for k, p in PROPOSALS.items()],
-    )
-    return placed.select(
-        "doc_id",
-        *[judged(F.col("text"), F.col(f"b_{k}"), k, True).alias(f"b_{k}") for k in PATTERNS],
-        *[judged(F.col("text"), F.col(f"p_{k}"), k, False).alias(f"p_{k}") for k in PROPOSALS],
-    )
+    names = [*[f"b_{k}" for k in PATTERNS], *[f"p_{k}" for k in PROPOSALS]]
+    pattern = {**{f"b_{k}": p for k, p in PATTERNS.items()}, **{f"p_{k}": p for k, p in PROPOSALS.items()}}
+    cut = found.select("doc_id", *names, *[F.when(F.size(c) > 0, F.split("text", pattern[c], -1)).otherwise(nothing).alias(f"g_{c}") for c in names])
+    placed = cut.select("doc_id", *[located(F.col(c), F.col(f"g_{c}")).alias(c) for c in names])
+    return placed.select("doc_id", *[judged(F.col(c), c[2:], c.startswith("b_")).alias(c) for c in names])
 
 
 def estimate(
@@ -228,7 +236,7 @@ def estimate(
     raise RuntimeError(f"beliefs still move by {moved} after {rounds} rounds")
 
 
-def fit(rows: list[tuple[tuple[float, ...], float, float]], ridge: float = 1.0, rounds: int = 30) -> list[float]:
+def fit(rows: list[tuple[tuple[float, ...], float, float]], ridge: float = 1.0, rounds: int = 1000) -> list[float]:
     """Logistic weights for (features, soft label, count) by Newton steps with a ridge.
 
     The ridge pulls to what a labeler of reliability TRUST would weigh, so that
@@ -257,10 +265,11 @@ def fit(rows: list[tuple[tuple[float, ...], float, float]], ridge: float = 1.0,
         step = [0.0] * d
         for i in reversed(range(d)):
             step[i] = (grad[i] - sum(hess[i][j] * step[j] for j in range(i + 1, d))) / hess[i][i]
-        w = [a + b for a, b in zip(w, step, strict=True)]
+        far = max(1.0, max(map(abs, step)) / 2)  # no weight moves by more than 2 at once
+        w = [a + b / far for a, b in zip(w, step, strict=True)]
         if max(map(abs, step)) < 1e-8:
-            break
-    return w
+            return w
+    raise RuntimeError(f"weights still move after {rounds} rounds")
 
 
 def trusting(d: int) -> list[float]:
@@ -352,9 +361,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sure:
         F.filter("every", lambda s: s["base"]).alias("base"),
         F.filter("every", lambda s: ~s["tried"] & (s["score"] >= sure)).alias("more"),
     )
-    added = F.filter("more", lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+    # A proposal overlaps a base span if of those that begin before its end one ends behind its start.
+    marks = F.array_sort(F.concat(
+        F.transform("base", lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("turn"), b["end"].alias("reach"), b.alias("s"))),
+        F.transform("more", lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("turn"), F.lit(-1).cast("bigint").alias("reach"), s.alias("s"))),
+    ))
+    merged = every.withColumn("marks", F.when(F.size("more") > 0, marks).otherwise(F.slice(marks, 1, 0))).withColumn("reached", running(F.transform("marks", lambda e: e["reach"]), lambda x, y: F.greatest(x, y)))
+    free = F.filter(F.arrays_zip("marks", "reached"), lambda z: (z["marks"]["turn"] == 0) & (z["reached"] <= z["marks"]["s"]["start"]))
+    added = F.transform(free, lambda z: z["marks"]["s"])
     show = lambda c: F.transform(F.array_sort(c), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
-    return every.select("doc_id", show(F.col("base")).alias("base"), show(F.array_distinct(F.concat("base", added))).alias("spans"))
+    return merged.select("doc_id", show(F.col("base")).alias("base"), show(F.concat("base", added)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
