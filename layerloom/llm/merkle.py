@@ -205,7 +205,8 @@ def manifest(docs: DataFrame) -> DataFrame:
         leaf_of(*[F.col(c) for c in names]).alias("leaf"),
         F.when(chosen, leaf_of(*[F.col(c) for c in names[:-1]], lowered)).alias("tampered"),
     )
-    placed = ranked(leaves, ["source"], ["doc_id", "leaf"], scratch.put, "leaves", "pos", "n")
+    leaves = scratch.put("leaves", leaves)  # ranges are found by a pass of their own: hash texts once only
+    placed = ranked(leaves, ["source"], ["doc_id", "leaf"], scratch.put, "by_doc", "pos", "n")
     # Sources by number, null first: the order of the tree over them, and a key without nulls.
     sources = scratch.put("sources", ranked(scratch.put("names", docs.select("source").distinct()), [], ["source"], scratch.put, "by_source", "tree", "trees"))
     numbered = sources.select(F.col("source").alias("__source"), "tree")
