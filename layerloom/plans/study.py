@@ -65,12 +65,14 @@ def spectral(layers: LayerSet, k: int) -> DataFrame:
         centres = [x[0]]
         while len(centres) < min(k, len(x)):  # the farthest point starts the next block
             centres.append(x[np.argmax(np.min([((x - c) ** 2).sum(1) for c in centres], axis=0))])
-        for _ in range(100):
+        for _ in range(1000):
             label = np.argmin([((x - c) ** 2).sum(1) for c in centres], axis=0)
             new = [x[label == c].mean(0) if (label == c).any() else centres[c] for c in range(len(centres))]
             if np.allclose(new, centres):
                 break
             centres = new
+        else:
+            raise RuntimeError("block centres still move after 1,000 rounds")
         n["meta_community"] = label + 1
         return n[["layer", "node", "meta_community"]]
 

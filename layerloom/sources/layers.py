@@ -128,7 +128,7 @@ def panel_layers(panel: DataFrame, value: str, first: int, last: int, a: str = "
     """A dyad-year panel as yearly layers over all states of the period; null is 0.
 
     Of several rows of a pair, in either direction, the last by ``order`` holds,
-    even where it is 0; without an order the larger value does.
+    even where it is 0, of equally late ones the largest; without an order the larger value does.
     """
     rows = panel.where(F.col(year).between(first, last)).select(
         (F.col(year) - (first - 1)).cast("int").alias("layer"),
@@ -144,7 +144,7 @@ def panel_layers(panel: DataFrame, value: str, first: int, last: int, a: str = "
     apart = rows.where("src <> dst")
     if order is None:
         return LayerSet(nodes, undirected(apart.where("weight <> 0")), n)
-    last = apart.groupBy("layer", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max_by("weight", "place").alias("weight"))
+    last = apart.groupBy("layer", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max_by("weight", F.struct("place", "weight")).alias("weight"))
     return LayerSet(nodes, last.where("weight <> 0"), n)
 
 
