@@ -8,10 +8,14 @@
 3.  Every group of classes with one hash is sorted deep-shallow, by what
     follows the anchor and by what stands before it, reversed; from the two
     orders follows how far each class repeats (``deep_shallow.repeated_spans``).
-4.  Groups with too many classes for a task are not sorted: their windows are
-    cut into ranges of offsets and counted by digests of what all windows of a
-    range share, down to single windows where classes differ.  These counts are
-    pre-aggregated, so no group has to meet in a task.
+4.  A group with too many classes for a task is first parted like the strings of
+    a multikey quicksort, only by Spark: its windows are cut into ranges of
+    offsets, and the key of a part is what all windows of a range share, on both
+    sides of the anchor.  Parts that fit a task are sorted as above, larger ones
+    are parted again by longer keys; at single windows a part holds equal
+    strings only.  Parts are counted by pre-aggregated digests of their keys, so
+    no large group has to meet in a task, and how many tasks saw a class does
+    not matter.
 5.  Spans go back to their documents, and what they cover is cut out.
 """
 
@@ -27,8 +31,10 @@ from pyspark.sql import functions as F
 from .deep_shallow import repeated_spans
 from .scratch import Scratch
 
-#: Anchors are multiples of so many bytes; bytes hashed at once; rows of a hash that one task sorts; parts of a range.
+#: Anchors are multiples of so many bytes; bytes hashed at once; classes that one task sorts together; ranges that a range is cut into.
 WORD, CHUNK, CROWD, SPLIT = 32, 1 << 20, 256, 8
+#: Turns of cutting ranges by SPLIT; enough for windows of 8**16 offsets.
+MOST_TURNS = 16
 M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -206,10 +212,13 @@ SPANS = "hash bigint, c1 bigint, spans array<struct<l:int,r:int>>"
 
 
 def _sorted_groups(classes: DataFrame, length: int) -> DataFrame:
-    """Spans of the classes; the rows of a hash lie together in one partition, in order of the hash."""
+    """Spans of the classes (part, hash, c1, n, l, ctx, low, high): of windows that start low to high bytes before the anchor.
+
+    The rows of a part lie together in one partition, in order of the part.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: dict[int, list] = {}
+        group: dict[tuple[int, int], list] = {}
         current = None
         out: list[list] = [[], [], []]
 
@@ -217,11 +226,11 @@ def _sorted_groups(classes: DataFrame, length: int) -> DataFrame:
             if not group or sum(g[0] for g in group.values()) < 2:
                 return
             keys = list(group)
-            lefts = [group[k][2][: group[k][1]][::-1] for k in keys]
-            rights = [group[k][2][group[k][1] :] for k in keys]
-            for k, spans in zip(keys, repeated_spans(lefts, rights, [group[k][0] for k in keys], length), strict=True):
+            lefts = [ctx[max(0, l - high) : l][::-1] for _, l, ctx, _, high in group.values()]
+            rights = [ctx[l : l + length - low] for _, l, ctx, low, _ in group.values()]
+            for k, spans in zip(keys, repeated_spans(lefts, rights, [g[0] for g in group.values()], length), strict=True):
                 if spans:
-                    for column, value in zip(out, (current, k, [{"l": a, "r": b} for a, b in spans]), strict=True):
+                    for column, value in zip(out, (*k, [{"l": a, "r": b} for a, b in spans]), strict=True):
                         column.append(value)
 
         def flush() -> pa.RecordBatch:
@@ -232,12 +241,12 @@ def _sorted_groups(classes: DataFrame, length: int) -> DataFrame:
             return made
 
         for batch in batches:
-            for h, c1, n, l, ctx in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if h != current:
+            for part, h, c1, n, l, ctx, low, high in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if part != current:
                     close()
                     group.clear()
-                    current = h
-                g = group.setdefault(c1, [0, 0, b""])
+                    current = part
+                g = group.setdefault((h, c1), [0, 0, b"", low, high])
                 g[0] += n
                 if ctx is not None:
                     g[1], g[2] = l, ctx
@@ -246,12 +255,17 @@ def _sorted_groups(classes: DataFrame, length: int) -> DataFrame:
         close()
         yield flush()
 
-    rows = classes.select("hash", "c1", "n", "l", "ctx").repartition("hash").sortWithinPartitions("hash")
+    rows = classes.select("part", "hash", "c1", "n", "l", "ctx", "low", "high").repartition("part").sortWithinPartitions("part")
     return rows.mapInArrow(work, SPANS)
 
 
-def _crowded(classes: DataFrame, length: int, scratch: Scratch) -> list[DataFrame]:
-    """Spans of classes (hash, c1, n, l, ctx), each there once, by counting windows."""
+def _whole_groups(classes: DataFrame, length: int) -> DataFrame:
+    """Spans of classes (hash, c1, n, l, ctx) with few others of their hash."""
+    return _sorted_groups(classes.select(F.col("hash").alias("part"), "*", F.lit(0).alias("low"), F.lit(length - gram_size(length)).alias("high")), length)
+
+
+def _parted_groups(classes: DataFrame, length: int, scratch: Scratch) -> list[DataFrame]:
+    """Spans of classes (hash, c1, n, l, ctx), each there once, of hashes with more classes than a task sorts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -281,25 +295,29 @@ def _crowded(classes: DataFrame, length: int, scratch: Scratch) -> list[DataFram
     found: list[DataFrame] = []
     key = ["hash", "c1"]
     todo = classes.select(*key, "n", "l", "ctx", F.lit(0).alias("low"), F.lit(length - gram_size(length)).alias("high"))
-    for turn in range(16):
+    for turn in range(MOST_TURNS):
         ranges = scratch.put(f"ranges{turn}", todo.mapInArrow(work, "hash bigint, c1 bigint, low int, high int, first int, last int, n bigint, core bigint, span bigint"))
         if turn:
             scratch.drop(f"mixed{turn - 1}")
-        # A range whose very bytes come twice is done; one that only shares what
-        # all its windows have is cut up, against one of each that is done.
+        # A range whose very bytes come twice is done; one that only shares the
+        # key of its part goes on, together with one of each that is done.
         rid = F.xxhash64(*key)
         spans = scratch.put(f"spans{turn}", ranges.groupBy("core", "span").agg(F.sum("n").alias("own"), F.min(rid).alias("rid")))
-        cores = spans.groupBy("core").agg(F.sum("own").alias("total"), F.min("own").alias("least")).where("total > 1").select("core", (F.col("least") == 1).alias("open"))
+        cores = spans.groupBy("core").agg(F.sum("own").alias("total"), F.min("own").alias("least"), F.count(F.lit(1)).alias("strings")).where("total > 1").select("core", (F.col("least") == 1).alias("open"), "strings")
         judged = scratch.put(f"cores{turn}", spans.join(cores, "core"))
         known = ranges.join(judged, ["core", "span"])
         whole = known.where("own > 1").select(*key, F.array(F.struct(F.col("last").alias("l"), (F.lit(length) - F.col("first")).cast("int").alias("r"))).alias("spans"))
         found.append(scratch.put(f"whole{turn}", whole))
-        mixed = scratch.put(f"mixed{turn}", known.where(F.col("open") & (F.col("rid") == rid) & (F.col("low") < F.col("high"))).select(*key, F.col("own").alias("n"), "low", "high"))
+        mixed = known.where(F.col("open") & (F.col("rid") == rid) & (F.col("low") < F.col("high")))
+        mixed = scratch.put(f"mixed{turn}", mixed.select(F.col("core").alias("part"), *key, F.col("own").alias("n"), "low", "high", (F.col("strings") <= CROWD).alias("fits")))
         scratch.drop(f"ranges{turn}", f"spans{turn}", f"cores{turn}")
-        if mixed.isEmpty():
-            break
-        todo = classes.select(*key, "l", "ctx").join(mixed, key).select(*key, "n", "l", "ctx", "low", "high")
-    return found
+        shown = classes.select(*key, "l", "ctx").join(mixed, key)
+        found.append(scratch.put(f"parts{turn}", _sorted_groups(shown.where("fits"), length)))
+        todo = shown.where("not fits").select(*key, "n", "l", "ctx", "low", "high")
+        if mixed.where("not fits").isEmpty():
+            scratch.drop(f"mixed{turn}")
+            return found
+    raise RuntimeError("ranges of windows were not cut down to single ones")
 
 
 def repeated(
@@ -332,22 +350,26 @@ def repeated(
     scratch.drop("wanted")
 
     classes = rows.where("kind > 0").select("hash", "c1", "n", "l", "ctx")
-    crowds = scratch.put("crowds", rows.where("kind = 1").groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD).select("hash"))
+    # Rows of a hash that many tasks sent are first brought down to one per class.
+    sent = scratch.put("sent", rows.where("kind = 1").groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD).select("hash"))
     key = ["hash", "c1"]
-    if crowds.isEmpty():
-        found = [scratch.put("sorted", _sorted_groups(classes, length))]
+    if sent.isEmpty():
+        found = [scratch.put("sorted", _whole_groups(classes, length))]
     else:
-        found = [scratch.put("sorted", _sorted_groups(classes.join(crowds, "hash", "left_anti"), length))]
-        inside = classes.join(crowds, "hash", "left_semi")
+        found = [scratch.put("sorted", _whole_groups(classes.join(sent, "hash", "left_anti"), length))]
+        inside = classes.join(sent, "hash", "left_semi")
         counted = inside.groupBy(*key).agg(F.sum("n").alias("n"))
         shown = inside.where("ctx is not null").groupBy(*key).agg(F.first("l").alias("l"), F.first("ctx").alias("ctx"))
         once = scratch.put("once", counted.join(shown, key))
-        found += _crowded(once, length, scratch)
+        large = scratch.put("large", once.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD).select("hash"))
+        found.append(scratch.put("few", _whole_groups(once.join(large, "hash", "left_anti"), length)))
+        if not large.isEmpty():
+            found += _parted_groups(once.join(large, "hash", "left_semi"), length, scratch)
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
     spans = scratch.put("spans", spans.select(*key, F.explode("spans").alias("s")).select(*key, "s.l", "s.r").distinct())
-    scratch.drop("sorted", "once", *[f"whole{turn}" for turn in range(len(found) - 1)])
+    scratch.drop("sorted", "once", "few", "large", *[f"{name}{turn}" for name in ("whole", "parts") for turn in range(MOST_TURNS)])
     members = rows.where("kind = 0").select("doc_id", "th", *key, "at")
     cut = scratch.put(
         "cut",
@@ -356,7 +378,7 @@ def repeated(
         .groupBy("doc_id", "th")
         .agg(F.collect_set(F.struct((F.col("p") - F.col("l")).alias("lo"), (F.col("p") + F.col("r")).alias("hi"))).alias("found")),
     )
-    scratch.drop("contexts", "crowds", "spans")
+    scratch.drop("contexts", "sent", "spans")
     same_doc = F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))
     found = scratch.put("found", echoes.join(cut, same_doc, "left").select(F.col("wid").alias("doc_id"), F.col("wth").alias("th"), "found", "n_echoes"))
     scratch.drop("cut", "echoes")

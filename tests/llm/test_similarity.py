@@ -177,6 +177,32 @@ def test_repeats_equal_brute_force(spark, monkeypatch, length, crowd, chunk):
     assert got == brute_repeats(rows, length)
 
 
+def test_tasks_that_send_one_class_do_not_part_its_group(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CROWD", 8)
+    monkeypatch.setattr(substring_dedup, "_parted_groups", lambda *_: pytest.fail("one class is not a large group"))
+    line = " ".join(f"licence{i}" for i in range(60))
+    rows = [(i, line) for i in range(40)] + [(99, line + " and more"), (100, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(24, "doc_id")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == {**{i: (len(line), 1) for i in range(40)}, 99: (len(line), 1), 100: (0, 0)}
+
+
+@pytest.mark.parametrize("crowd", [3, 40])
+def test_large_groups_are_parted_and_sorted(spark, monkeypatch, crowd):
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot, tails, heads = word(380), [word(260) for _ in range(9)], [word(260) for _ in range(9)]
+    rows = [(i, word(rng.randrange(90)) + rng.choice(heads)[rng.randrange(200) :] + hot + rng.choice(tails)[: rng.randrange(260)] + word(60)) for i in range(160)]
+    made = []
+    whole = substring_dedup._sorted_groups
+    monkeypatch.setattr(substring_dedup, "_sorted_groups", lambda *args: made.append(1) or whole(*args))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r[0]: tuple(r)[1:] for r in substring_dedup.remove_repeats(df, 400).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
+    assert got == brute_repeats(rows, 400)
+    assert len(made) > 2  # parts of the large group were sorted
+
+
 def test_repeated_rows_and_no_rows(spark):
     text = " ".join(f"n{i}" for i in range(200))
     df = spark.createDataFrame([(1, text), (1, text), (2, "short")], "doc_id long, text string")
