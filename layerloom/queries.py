@@ -19,6 +19,7 @@ from .operators import redraw as R
 from .operators import simulate as S
 from .operators import ties as T
 from .operators import track as K
+from .operators import track_large as KL
 from .plans import empirical, fits, study
 from .sources import layers as Y
 from .sources import storage
@@ -939,6 +940,35 @@ def hungarian_tracking(spark, d):
     return K.track(Y.event_membership(spark, d))
 
 
+@query(
+    "event_matching_totals",
+    f"""WITH {MEMBERS}, {PAIRED}, c AS (SELECT layer, a, b, count(*) AS n FROM k GROUP BY ALL), t AS (SELECT DISTINCT layer FROM c),
+z AS (SELECT t.layer, x.community AS a, y.community AS b, coalesce(n, 0) AS n FROM t, kinds x, kinds y LEFT JOIN c ON c.layer = t.layer AND c.a = x.community AND c.b = y.community),
+p AS (SELECT v.layer, v.n + w.n + x.n + y.n + z.n AS n FROM z v JOIN z w USING (layer) JOIN z x USING (layer) JOIN z y USING (layer) JOIN z USING (layer)
+  WHERE v.a = 1 AND w.a = 2 AND x.a = 3 AND y.a = 4 AND z.a = 5 AND len(list_distinct([v.b, w.b, x.b, y.b, z.b])) = 5)
+SELECT layer, max(n)::BIGINT AS kept_users FROM p GROUP BY layer""",
+)
+def event_matching_totals(spark, d):
+    """Users whom the best matching of each week's communities with the next week's keeps; the SQL tries all orders."""
+    pairs = KL.heaviest_matching(M.contingency(M.adjacent(Y.event_membership(spark, d)), ["layer"]))
+    return pairs.groupBy("layer").agg(F.sum("n").alias("kept_users"))
+
+
+@query(
+    "region_tracking",
+    """WITH o AS (SELECT (year(o_orderdate) - 1992)::INT AS layer, o_custkey AS node, n_regionkey AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT DISTINCT layer, node, (r + 1)::INT AS meta_community FROM o""",
+)
+def region_tracking(spark, d):
+    """Customers with orders in a year, by region under names that change every year; followed, they are regions again."""
+    o, c, n = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "customer", "nation"))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    layer = (F.year("o_orderdate") - 1992).cast("int")
+    # In the first year names ascend with regions, later they are turned.
+    named = F.pmod(F.col("n_regionkey") + layer - o.agg(F.min(layer)).first()[0], F.lit(5)).cast("int")
+    return KL.track_large(rows.select(layer.alias("layer"), F.col("o_custkey").alias("node"), named.alias("community")).distinct())
+
+
 @query("greedy_tracking")
 def greedy_tracking(spark, d):
     return K.track(Y.event_membership(spark, d), "reuse")
