@@ -20,7 +20,7 @@ from .operators import simulate as S
 from .operators import ties as T
 from .operators import track as K
 from .operators import track_large as KL
-from .plans import empirical, fits, study
+from .plans import coverage, empirical, fits, study
 from .sources import layers as Y
 from .sources import storage
 from .sources.workspace import Workspace
@@ -1004,6 +1004,12 @@ def bootstrap_co_assignment_ci(spark, d):
     return fits.co_assignment_ci(fits.bootstrap_multilayer(spark, region_layers(spark, d), n_boot=5))
 
 
+@query("trade_coverage")
+def trade_coverage(spark, d):
+    """Coverage of bootstrap intervals per year of trade, its fitted block model being the truth; 6 runs of 20 replicates."""
+    return coverage.coverage_study(spark, Y.trade_layers(spark, d), n_outer=6, n_inner=20, n_fresh=40)
+
+
 @query("simulate_and_fit")
 def simulate_and_fit(spark, d):
     _, truth, fit = fits.simulate_and_fit_multilayer(spark, 40, 3, 4, 0.6, 0.02, seed=4)
