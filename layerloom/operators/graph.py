@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .incidence import linked_counts
+
 
 def strengths(nodes: DataFrame, edges: DataFrame, directed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Summed weights of a node's edges (directed: in and out); isolates have 0, a loop counts twice."""
@@ -27,12 +29,24 @@ def pooled(edges: DataFrame) -> DataFrame:
 def density(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
     n = nodes.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
     m = edges.where("src <> dst and weight > 0").groupBy("layer").agg(F.count(F.lit(1)).alias("m"))
-    pairs = F.col("n") * (F.col("n") - 1) / (1 if directed else 2)
+    return _density(n, m, 1 if directed else 2)
+
+
+def _density(n: DataFrame, m: DataFrame, half: int) -> DataFrame:
+    pairs = F.col("n") * (F.col("n") - 1) / half
     return n.join(m, "layer", "left").select(
         "layer", "n", F.coalesce("m", F.lit(0)).alias("m"), F.when(pairs > 0, F.coalesce("m", F.lit(0)) / F.nullif(pairs, F.lit(0.0))).otherwise(0.0).alias("density")
     )
 
 
+def incidence_density(nodes: DataFrame, incidence: DataFrame, group: list[str]) -> DataFrame:
+    """``density`` of the graph that joins all nodes of a group; pairs are counted between classes of nodes, see ``linked_counts``."""
+    held = incidence.select("layer", "node").distinct().withColumn("community", F.lit(0))
+    n = nodes.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    m = linked_counts(held, incidence, group).select("layer", F.col("e_all").alias("m"))
+    return _density(n, m, 2)
+
+
 def modularity(membership: DataFrame, edges: DataFrame, resolution: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Newman modularity per layer; null where a layer has no weight."""
     key = [*by, "layer"]

@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 
 from layerloom.operators import bootstrap as B
+from layerloom.operators import graph as G
 from layerloom.operators import incidence as I
 
 
@@ -34,6 +35,7 @@ def test_counts_equal_listed_edges(spark, monkeypatch, groups, chance, block, wo
     edges = spark.createDataFrame([(*k, w) for k, w in want.items()], "layer int, src long, dst long, weight double")
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(B.incidence_edge_model(members, incidence, ["g"])) == rows(B.edge_model(members, edges, members))
+    assert rows(G.incidence_density(members, incidence, ["g"])) == rows(G.density(members, edges))
 
 
 def test_no_pair_is_shuffled(spark):
