@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.incidence import incidence_edges
 from ..operators.ranks import dense
 from .workspace import Workspace
 
@@ -228,13 +229,7 @@ def event_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of the same event type on the same day, by week: weight counts (day, type) pairs."""
-    e = event_incidence(spark, sf_dir)
-    key = ["layer", *EVENT_GROUP]
-    b = e.select(*key, F.col("node").alias("dst"))
-    return (
-        e.withColumnRenamed("node", "src").join(b, key).where("src < dst")
-        .groupBy("layer", "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    )
+    return incidence_edges(event_incidence(spark, sf_dir), EVENT_GROUP)
 
 
 def copart_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,15 @@ def table(spark, groups, chance):
 CASES = [(70, 0.4, 4096, 32), (40, 0.03, 4096, 32), (70, 0.4, 7, 32), (70, 0.4, 4096, 0)]
 
 
+@pytest.mark.parametrize("groups, chance, block, words", CASES)
+def test_edges_equal_all_pairs(spark, monkeypatch, groups, chance, block, words):
+    monkeypatch.setattr(I, "BLOCK", block)
+    monkeypatch.setattr(I, "MOST_WORDS", words)
+    incidence, _, want = table(spark, groups, chance)
+    got = I.incidence_edges(incidence, ["g"]).collect()
+    assert {(r.layer, r.src, r.dst): r.weight for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("groups, chance, block, words", CASES)
 def test_counts_equal_listed_edges(spark, monkeypatch, groups, chance, block, words):
     monkeypatch.setattr(I, "BLOCK", block)
@@ -41,5 +50,8 @@ def test_counts_equal_listed_edges(spark, monkeypatch, groups, chance, block, wo
 def test_no_pair_is_shuffled(spark):
     """120 nodes that share 40 groups: what the exchanges carry stays far below the 7,140 pairs."""
     incidence = spark.sql("select 1 as layer, g.id as g, n.id as node from range(40) g, range(120) n")
+    edges = I.incidence_edges(incidence, ["g"])
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert edges.count() == 7140 and "Aggregate" not in plan
     counts = I.linked_counts(spark.sql("select 1 as layer, id as node, 0 as community from range(120)"), incidence, ["g"])
     assert [tuple(r) for r in counts.collect()] == [(1, 7140, 7140)]
