@@ -55,3 +55,12 @@ def test_no_pair_is_shuffled(spark):
     assert edges.count() == 7140 and "Aggregate" not in plan
     counts = I.linked_counts(spark.sql("select 1 as layer, id as node, 0 as community from range(120)"), incidence, ["g"])
     assert [tuple(r) for r in counts.collect()] == [(1, 7140, 7140)]
+
+
+def test_supra_edges_sum_ties_only(spark):
+    edges = spark.createDataFrame([(1, 1, 2, 3.0), (2, 1, 2, 4.0)], "layer int, src long, dst long, weight double")
+    ties = spark.createDataFrame([(1, 2, 1, 1.0), (2, 1, 1, 0.5)], "from_layer int, to_layer int, node long, layer_weight double")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    once = G.supra_edges(edges, ties, 0.5, once=True)
+    assert rows(once) == rows(G.supra_edges(edges, ties, 0.5)) == [(1, 1, 1, 2, 3.0), (1, 1, 2, 1, 0.75), (2, 1, 2, 2, 4.0)]
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
