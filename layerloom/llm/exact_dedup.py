@@ -166,8 +166,8 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     aggregation, so that texts otherwise move once.
     """
     spark = docs.sparkSession
-    index = fresh_index(spark)
-    decided = dedup(docs, index)
+    index, work = fresh_index(spark), Scratch(spark, "exact")
+    decided = dedup(docs, index, scratch=work)
     index.drop()
     stay = Scratch(spark, "exact-stay").put(
         "stay",
@@ -176,6 +176,7 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
         .where("__kept")
         .drop("__kept"),
     )
+    work.close()
     tagged = docs.withColumn("__own", digest_of(F.col("text")))
     joined = tagged.join(
         stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))

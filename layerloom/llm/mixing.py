@@ -136,6 +136,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, rate, copies, taken, source.
 
@@ -144,8 +145,7 @@ def mix(
     ``rate`` is exp(tilt * size), at most ``most``; 0 where there are no words or
     no target.  Null text: size 0, taken 0.  Null source: a source of its own, last.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
+    scratch = scratch or Scratch(docs.sparkSession, "mixing")
     keys = ["no_source", "source"]
     sized = scratch.put(
         "sized",
