@@ -64,3 +64,18 @@ def test_supra_edges_sum_ties_only(spark):
     once = G.supra_edges(edges, ties, 0.5, once=True)
     assert rows(once) == rows(G.supra_edges(edges, ties, 0.5)) == [(1, 1, 1, 2, 3.0), (1, 1, 2, 1, 0.75), (2, 1, 2, 2, 4.0)]
     assert once._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_redraw_of_runs_equals_pools_and_sorts_no_pool(spark, monkeypatch, directed):
+    rng = random.Random(3)
+    pairs = [(layer, a, b) for layer in (1, 2) for a in range(14) for b in range(14) if (a != b if directed else a < b)]
+    rows = [(layer, a, b, float(rng.choice([1, 1, 2, 5]))) for layer, a, b in pairs if rng.random() < 0.5 and not (layer == 2 and a % 3 == b % 3)]
+    edges = spark.createDataFrame(rows, "layer int, src long, dst long, weight double")
+    members = spark.createDataFrame([(layer, n, n % 3) for layer in (1, 2) for n in range(14)], "layer int, node long, community int")
+    draw = lambda: B.redraw(spark, members, edges, members, 3, 7, directed)
+    got = draw()
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    by_runs = sorted(map(tuple, got.collect()))
+    monkeypatch.setattr(B, "MOST_RUNS", 0)
+    assert by_runs == sorted(map(tuple, draw().collect())) and by_runs
