@@ -7,6 +7,11 @@ it is compatible with the last token of the prefix it leaves, that is, where
 merging the two pieces' characters gives back these two pieces.  One row of the
 table follows from the earlier ones, and the ids are read off backwards.
 
+The automaton's states are made as texts reach them.  A state is what later rows
+can depend on: the characters of which a piece may still be made, and the last
+tokens before, between and after them.  So a step that was taken once costs one
+lookup, whatever the number of pieces that end there.
+
 Merges never cross the start of a word (no piece has the space mark after
 another character) nor a character without a piece, so segments between those
 are encoded on their own and remembered.  Runs of space marks, whose pieces
@@ -18,7 +23,8 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
+from operator import getitem
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +33,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Ids, and the same in decimal with commas between.
 Part = tuple[tuple[int, ...], str]
-#: Words of late and pair tests that a worker remembers.
-WORDS, PAIRS = 60_000, 300_000
+#: Words of late, pair tests and states that a worker remembers.
+WORDS, PAIRS, STATES = 200_000, 300_000, 200_000
 
 
 def part(ids: Iterable[int]) -> Part:
@@ -36,11 +42,19 @@ def part(ids: Iterable[int]) -> Part:
     return ids, ",".join(map(str, ids))
 
 
+class State(dict):
+    """A row of the table: the last token, its decimal and size, and by the next character the row after it."""
+
+    __slots__ = ("decimal", "last", "size", "table", "tail", "token")
+
+    def __missing__(self, character: str) -> State:
+        return self.table.step(self, character)
+
+
 class PrefixTable:
     """Encoder and decoder for one model file (BPE, identity normaliser, byte fallback)."""
 
     def __init__(self, model_file: str):
-        import ahocorasick
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -54,17 +68,13 @@ class PrefixTable:
         self.known = {p for p in self.pieces if len(p) == 1}
         if any(c not in self.known for p in self.pieces for c in p):
             raise ValueError("a piece has a character that is no piece: segments would not be independent")
-        self.automaton = ahocorasick.Automaton()
-        for p, i in self.pieces.items():
-            if p.strip(MARK) or p == MARK:
-                self.automaton.add_word(p, (len(p), i))
-        self.automaton.make_automaton()
+        self.open = {p[:i] for p in self.pieces for i in range(1, len(p))}
         self.size = {i: len(p) for i, p in self.text.items()}
         #: For a token (-1: nothing), which tokens may follow it, as far as tested.
         self.follows: dict[int, dict[int, bool]] = {}
         self.tested = 0
-        #: Neighbours that no piece contains: a segment may end between them.
-        self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.states: dict[tuple[str, tuple[int, ...]], State] = {}
+        self.start = self.state("", (-1,))
         #: By word, with and without a space mark before it; what was not used of late goes.
         self.marked: dict[str, Part] = {}
         self.bare: dict[str, Part] = {}
@@ -91,37 +101,58 @@ class PrefixTable:
             return self.merged(self.text[right]) == [right]
         return self.merged(self.text[left] + self.text[right]) == [left, right]
 
-    def segment(self, segment: str) -> list[int]:
-        """Ids of a string of known characters with a space mark at its start at most."""
-        follows = self.follows
-        if self.tested >= PAIRS:
-            follows.clear()
-            self.tested = 0
-        # The table: each prefix's last token, and beside it the tests known for that token.
-        last = [-1] * (len(segment) + 1)
-        tests: list[dict[int, bool] | None] = [None] * (len(segment) + 1)
-        tests[0] = follows.setdefault(-1, {})
-        for end, (size, token) in self.automaton.iter(segment):
-            end += 1
-            if tests[end] is not None:
-                continue
-            known = tests[end - size]
-            if known is None:
-                continue
-            fits = known.get(token)
-            if fits is None:
-                fits = known[token] = self.compatible(last[end - size], token)
-                self.tested += 1
-            if fits:
-                last[end] = token
-                tests[end] = follows.get(token) or follows.setdefault(token, {})
-        ids, end, sizes = [], len(segment), self.size
+    def fits(self, left: int, right: int) -> bool:
+        known = self.follows.setdefault(left, {})
+        found = known.get(right)
+        if found is None:
+            if self.tested >= PAIRS:
+                self.follows.clear()
+                self.tested = 0
+                known = self.follows.setdefault(left, {})
+            found = known[right] = self.compatible(left, right)
+            self.tested += 1
+        return found
+
+    def state(self, tail: str, last: tuple[int, ...]) -> State:
+        """The row after ``tail``, whose places have these last tokens, the one before it included."""
+        found = self.states.get((tail, last))
+        if found is None:
+            found = self.states[tail, last] = State()
+            found.table, found.tail, found.last, found.token = self, tail, last, last[-1]
+            found.decimal, found.size = str(last[-1]), self.size.get(last[-1], 0)
+        return found
+
+    def step(self, state: State, character: str) -> State:
+        """The row after one more character: the one piece that fits what it leaves ends there."""
+        tail, last = state.tail + character, state.last
+        for begin in range(len(tail)):
+            token = self.pieces.get(tail[begin:])
+            if token is not None and self.fits(last[begin], token):
+                break
+        else:
+            raise ValueError(f"no piece ends the encoding at {character!r}")
+        if len(self.states) >= STATES:
+            for old in self.states.values():
+                old.clear()  # states refer to each other
+            self.states = {("", (-1,)): self.start}
+        begin = 0
+        while begin < len(tail) and tail[begin:] not in self.open:
+            begin += 1
+        found = state[character] = self.state(tail[begin:], (*last[begin:], token))
+        return found
+
+    def segment(self, segment: str) -> Part:
+        """The part of a string of known characters with a space mark at its start at most."""
+        rows = list(accumulate(segment, getitem, initial=self.start))
+        ids, decimals, end = [], [], len(segment)
         while end:
-            token = last[end]
-            ids.append(token)
-            end -= sizes[token]
+            row = rows[end]
+            ids.append(row.token)
+            decimals.append(row.decimal)
+            end -= row.size
         ids.reverse()
-        return ids
+        decimals.reverse()
+        return tuple(ids), ",".join(decimals)
 
     def run(self, n: int) -> Part:
         """Ids of n space marks that no letter follows in a piece.
@@ -161,8 +192,8 @@ class PrefixTable:
             offer(i, after[i])
         return [self.pieces[MARK * s] for s in size if s]
 
-    def split(self, text: str) -> list[int]:
-        """Ids of a text with a space mark at its start at most: segments between characters without a piece."""
+    def split(self, text: str) -> Part:
+        """The part of a text with a space mark at its start at most: segments between characters without a piece."""
         if self.known.issuperset(text):
             return self.segment(text)
         ids: list[int] = []
@@ -170,12 +201,12 @@ class PrefixTable:
         for i, c in enumerate(text):
             if c not in self.known:
                 if i > begin:
-                    ids += self.segment(text[begin:i])
+                    ids += self.segment(text[begin:i])[0]
                 ids += [self.bytes[b] for b in c.encode()]
                 begin = i + 1
         if begin < len(text):
-            ids += self.segment(text[begin:])
-        return ids
+            ids += self.segment(text[begin:])[0]
+        return part(ids)
 
     def word(self, word: str, marked: bool) -> Part:
         """What lies between two space marks, with or without the first one; words of lines are remembered."""
@@ -184,9 +215,10 @@ class PrefixTable:
         if found is not None:
             return found
         found = self.older[marked].get(word)
+        lines = "\n" in word
         if found is None:
-            found = part(self.fresh(word, marked))
-        if len(word) <= 64 and "\n" not in word:
+            found = self.lines(word, marked) if lines else self.split(MARK + word if marked else word)
+        if len(word) <= 64 and not lines:
             if len(store) >= WORDS:
                 self.older[marked] = store
                 store = {}
@@ -197,21 +229,14 @@ class PrefixTable:
             store[word] = found
         return found
 
-    def fresh(self, word: str, marked: bool) -> Iterable[int]:
-        if "\n" in word:
-            ids: list[int] = []
-            for k, line in enumerate(word.split("\n")):
-                if k:
-                    ids.append(self.bytes[10])
-                if line or marked and not k:
-                    ids += self.word(line, marked and not k)[0]
-            return ids
-        joined = self.joined
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
-        if cuts:
-            ends = zip([0, *cuts], [*cuts, len(word)], strict=True)
-            return chain.from_iterable([self.word(word[i:j], marked and not i)[0] for i, j in ends])
-        return self.split(MARK + word if marked else word)
+    def lines(self, word: str, marked: bool) -> Part:
+        ids: list[int] = []
+        for k, line in enumerate(word.split("\n")):
+            if k:
+                ids.append(self.bytes[10])
+            if line or marked and not k:
+                ids += self.word(line, marked and not k)[0]
+        return part(ids)
 
     def parts(self, text: str) -> list[Part]:
         """Ids in decimal and as numbers, part by part."""
@@ -276,7 +301,7 @@ def prefix_table(model_file: str) -> PrefixTable:
     The stores hold no cycles, so the worker's collector, which would walk all
     of them again and again, is told to come by rarely.
     """
-    gc.set_threshold(1_000_000, 100, 1000)
+    gc.set_threshold(20_000_000, 100, 1000)
     if model_file not in _tables:
         _tables[model_file] = PrefixTable(model_file)
     return _tables[model_file]

@@ -62,6 +62,28 @@ def test_stores_may_run_over(monkeypatch):
         assert table.encode(t) == table.library.encode(t)
 
 
+def test_new_words_take_known_steps(monkeypatch):
+    table = sentencepiece_bpe.PrefixTable(MODEL)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["th", "ing", "er", "ent", "sch", "ción", "eau", "st"]) for _ in range(rng.randint(2, 5)))
+    seen = {word() for _ in range(6000)}
+    table.encode(" ".join(sorted(seen)))
+    made, step = [], table.step
+    monkeypatch.setattr(table, "step", lambda *row: made.append(row) or step(*row))
+    fresh = sorted({word() for _ in range(3000)} - seen)
+    text = " ".join(fresh)
+    assert table.encode(text) == table.library.encode(text)
+    assert len(fresh) > 1000 and len(made) < len(fresh) / 2
+
+
+def test_states_may_run_over(monkeypatch):
+    monkeypatch.setattr(sentencepiece_bpe, "STATES", 7)
+    table = sentencepiece_bpe.PrefixTable(MODEL)
+    for t in ("one two three four", "an-other, völlig anderes wort ççççç" * 5, "one two three", "y" * 500):
+        assert table.encode(t) == table.library.encode(t)
+        assert len(table.states) <= 8
+
+
 def test_encoded_documents(spark):
     rows = [(1, "Hello  world\n"), (2, None), (3, ""), (3, ""), (4, "é" * 5000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, ids string")
