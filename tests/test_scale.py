@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,44 @@ def test_redraws_follow_the_model(spark, directed):
         assert set(seen) <= set(kind) and max(seen.values()) <= top
 
 
+@pytest.mark.parametrize(("stretch", "dense"), [(3, 5), (1024, 1 << 16)])
+def test_almost_sure_pairs_are_drawn_by_what_is_missing(spark, monkeypatch, stretch, dense):
+    monkeypatch.setattr(redraw, "STRETCH", stretch)
+    monkeypatch.setattr(redraw, "MOST_DENSE", dense)
+    n, reps, p = 90, 30, {True: 0.97, False: 0.02}
+    m = spark.createDataFrame([(1, v, v % 2) for v in range(n)], "layer int, node long, community int")
+    model = spark.createDataFrame([(1, p[True], p[False])], "layer int, p_in double, p_out double")
+    work = Workspace(spark, "redraw-test")
+    placed = redraw.placed_nodes(m, work)
+    stretches = work.put("stretches", redraw.drawn_stretches(spark, redraw.node_runs(placed, model, False), reps, 3))
+    drawn = Counter(tuple(r) for r in redraw.drawn_pairs(stretches).collect())
+    assert set(drawn.values()) == {1}
+    pairs = {True: 2 * 45 * 44 // 2, False: 45 * 45}
+    for same in (True, False):
+        x = sum(k[3] == same for k in drawn)
+        assert abs(x - reps * pairs[same] * p[same]) <= 4 * (reps * pairs[same] * p[same] * (1 - p[same])) ** 0.5
+    # What is held are the few exceptions, not the pairs.
+    assert sum(len(r.at) for r in stretches.collect()) < len(drawn) / 10
+    counts = redraw.stretch_counts(stretches, placed).collect()
+    assert sum(r.drawn for r in counts) == len(drawn) and all(r.sound and r.rows == reps and r.low > r.place for r in counts)
+    assert {r.inside: sum(q.drawn for q in counts if q.inside == r.inside) for r in counts} == {b: sum(k[3] == b for k in drawn) for b in (True, False)}
+    broken = stretches.withColumn("at", F.when(F.size("at") > 0, F.concat("at", F.slice("at", 1, 1))).otherwise(F.col("at")))
+    assert not all(r.sound for r in redraw.stretch_counts(broken, placed).collect())
+
+
+def test_walks_land_on_every_place_alike():
+    n, length, q = 4000, 50, 0.3
+    keys = np.random.default_rng(1).integers(0, 2**63, n).astype(np.uint64)
+    at, size = redraw.walks(keys, np.full(n, q), np.full(n, length))
+    assert size.sum() == len(at) and at.min() >= 0 and at.max() < length
+    row = np.repeat(np.arange(n), size)
+    assert (np.diff(at)[np.diff(row) == 0] > 0).all()
+    seen = np.bincount(at, minlength=length)
+    assert np.abs(seen - n * q).max() <= 5 * (n * q * (1 - q)) ** 0.5
+    sure, size = redraw.walks(keys[:3], np.array([1.0, 0.0, 1.0]), np.array([4, 4, 2]))
+    assert sure.tolist() == [0, 1, 2, 3, 0, 1] and size.tolist() == [4, 0, 2]
+
+
 def test_redraws_of_empty_layers(spark):
     m, e = model_rows(spark, {1: 1, 2: 1, 3: 2}, [])
     assert redraw.redraw_sparse(spark, m, e, m, 5).isEmpty()
