@@ -33,6 +33,8 @@ from .scratch import Scratch
 
 #: Anchors are multiples of so many bytes; bytes hashed at once; classes that one task sorts together; ranges that a range is cut into.
 WORD, CHUNK, CROWD, SPLIT = 32, 1 << 20, 256, 8
+#: Words of a passage that counts as an echo, words of its anchor, and words hashed at once.
+ECHO, ECHO_GRAM, ECHO_CHUNK = 51, 32, 1 << 17
 #: Turns of cutting ranges by SPLIT; enough for windows of 8**16 offsets.
 MOST_TURNS = 16
 M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -80,8 +82,13 @@ def sliding(values: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.nda
 
 def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of anchors in documents data[starts[i] : starts[i + 1]]; windows stay inside documents."""
-    h = gram_hashes(data, gram_size(length))
-    width = length - gram_size(length) + 1
+    gram = gram_size(length)
+    return chosen(gram_hashes(data, gram), starts, length, gram)
+
+
+def chosen(h: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams (hashes ``h``) that are the least of a window of ``length``; windows stay inside documents."""
+    width = length - gram + 1
     least = sliding(h, width, np.minimum, 2**64 - 1)
     if not len(least):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -94,6 +101,65 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarr
     return at, h[at]
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * M[1]
+    x = (x ^ (x >> np.uint64(27))) * M[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % 2**64, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def sums(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A mixed polynomial hash of values[low : high] for every pair of places."""
+    base = int(M[0])
+    upto = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(base, len(values)), out=upto[1:])
+    back = powers(pow(base, -1, 2**64), len(values) + 1)
+    return mixed((upto[high] - upto[low]) * back[low])
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (what stands between spaces, tabs and line ends), and the first word of every document."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+    before = inside[:-1].copy()
+    before[starts] = 0  # a word ends where its document does
+    after = inside[1:].copy()
+    after[starts] = inside[starts + 1]
+    low = np.flatnonzero(after[:-1] & ~before[:-1] & 1)
+    stop = inside[1:].copy()
+    stop[starts] = 0
+    high = np.flatnonzero(inside[1:-1] & (1 - stop[1:])) + 1
+    return sums(data.astype(np.uint64) + np.uint64(1), low, high), np.searchsorted(low, starts)
+
+
+def echo_anchors(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(document, different hashes) of anchors of ECHO words in a row, whatever stands between words."""
+    first, step = 0, CHUNK
+    while first < len(starts) - 1:
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + step, "right")) - 1)
+        words, at = word_hashes(data[starts[first] : starts[last]], starts[first : last + 1] - starts[first])
+        docs, hashes = [], []
+        for begin in range(0, max(1, len(words) - ECHO + 1), ECHO_CHUNK):
+            some = words[begin : begin + ECHO_CHUNK + ECHO - 1]
+            if len(some) < ECHO:
+                break
+            low = np.arange(len(some) - ECHO_GRAM + 1)
+            bounds = np.clip(at - begin, 0, len(some))
+            places, found = chosen(sums(some, low, low + ECHO_GRAM) | np.uint64(1), bounds, ECHO, ECHO_GRAM)
+            docs.append(np.searchsorted(at, places + begin, "right") - 1)
+            hashes.append(found)
+        if docs:
+            doc, h = np.concatenate(docs), np.concatenate(hashes)
+            for d in np.unique(doc):
+                yield first + int(d), np.unique(h[doc == d])
+        first = last
+
+
 def document_anchors(data: np.ndarray, starts: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(document, places in it, hashes), chunk by chunk; long documents are taken in overlapping pieces."""
     margin = 2 * length
@@ -129,7 +195,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, hash, c): how often an anchor hash occurs in a document."""
+    """(doc_id, th, hash, c): how often an anchor hash occurs in a document; c is 0 for the anchors of echoes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +206,10 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 rows.append(np.full(len(u), d))
                 hashes.append(u)
                 counts.append(c)
+            for d, u in echo_anchors(data, starts):
+                rows.append(np.full(len(u), d))
+                hashes.append(u)
+                counts.append(np.zeros(len(u), np.int64))
             take = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))],
@@ -326,7 +396,7 @@ def repeated(
     """(documents, spans): doc_id, th, text, and for (doc_id, th) found, the spans (lo, hi) of bytes to remove, hi exclusive.
 
     Documents without a repeat have null or no spans; n_echoes counts a
-    document's different anchors that stand elsewhere too.
+    document's anchors of passages of ECHO words that stand in other documents too.
 
     ``th`` is a hash of the text; rows alike in id and text share their spans.
     """
@@ -337,17 +407,21 @@ def repeated(
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     long_enough = docs.where(F.octet_length("text") >= length)
-    places = scratch.put("places", _anchor_rows(long_enough, length))
-    often = scratch.put("often", places.groupBy("hash").agg(F.sum("c").alias("c")).where("c > 1").select("hash"))
-    wanted = scratch.put(
-        "wanted",
-        places.join(often, "hash").groupBy(F.col("doc_id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_set("hash").alias("hashes")),
+    enough = docs.where(F.octet_length("text") >= min(length, 2 * ECHO - 1))
+    places = scratch.put("places", _anchor_rows(enough, length))
+    echo = F.col("c") == 0
+    often = scratch.put("often", places.groupBy("hash", echo.alias("echo")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("m")).where(F.when(F.col("echo"), F.col("m") > 1).otherwise(F.col("c") > 1)).select("hash", "echo"))
+    met = scratch.put(
+        "met",
+        places.withColumn("echo", echo).join(often, ["hash", "echo"]).groupBy(F.col("doc_id").alias("wid"), F.col("th").alias("wth"))
+        .agg(F.collect_set(F.when(~F.col("echo"), F.col("hash"))).alias("hashes"), F.size(F.collect_set(F.when(F.col("echo"), F.col("hash")))).cast("bigint").alias("n_echoes")),
     )
-    echoes = scratch.put("echoes", wanted.select("wid", "wth", F.size("hashes").cast("bigint").alias("n_echoes")))
+    wanted = met.where(F.size("hashes") > 0).select("wid", "wth", "hashes")
+    echoes = scratch.put("echoes", met.select("wid", "wth", "n_echoes"))
     scratch.drop("places", "often")
     same = lambda a, b: a["doc_id"].eqNullSafe(F.col(f"{b}id")) & (a["th"] == F.col(f"{b}th"))
     rows = scratch.put("contexts", _contexts(long_enough.join(wanted, same(long_enough, "w")), length))
-    scratch.drop("wanted")
+    scratch.drop("met")
 
     classes = rows.where("kind > 0").select("hash", "c1", "n", "l", "ctx")
     # Rows of a hash that many tasks sent are first brought down to one per class.
@@ -388,9 +462,9 @@ def repeated(
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary: what is left), spans (array of lo, hi), n_echoes.
 
-    ``n_echoes`` counts the document's different anchors (strings of
-    ``gram_size(length)`` bytes) that occur again, which also tells of most
-    repeats that are somewhat shorter than ``length`` and stay.
+    ``n_echoes`` tells of passages of words, most of which are shorter than
+    ``length`` and stay: every ``ECHO`` words in a row that stand in another row
+    too, whatever is between the words, have an anchor (``ECHO_GRAM`` words) that is counted.
 
     Null text counts as empty; texts shorter than ``length`` bytes are left
     alone; repeated rows repeat each other.  ``kept`` can be invalid UTF-8, as a

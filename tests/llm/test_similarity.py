@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +235,30 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert Counter(tuple(r) for r in topk_search.search(df).collect()) == want
     assert topk_search.search(df.where("false")).count() == 0
     assert topk_search.search(df.where("vec_id = 50")).count() == 0
+
+
+def test_echoes_are_passages_of_words_in_other_documents(spark):
+    rng = random.Random(12)
+    word = lambda n=4: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    words = lambda n: [word() for _ in range(n)]
+    passage, short, line = words(51), words(31), words(60)
+    rows, wanted = [], {}
+    for i in range(40):  # 51 words of 254 bytes, at any place, with other spaces between
+        rows.append((i, " ".join(words(i)) + "\n" + rng.choice([" ", "  ", "\n"]).join(passage) + " " + " ".join(words(40 - i))))
+        wanted[i] = True
+    rows += [(100 + i, " ".join(words(30) + short + words(30))) for i in range(5)]
+    rows += [(200, " ".join(line + words(5) + line)), (201, " ".join(words(300))), (202, None), (203, ""), (204, " ".join(line[:50]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_echoes, r.n_removed) for r in substring_dedup.remove_repeats(df).collect()}
+    assert {d for d, (n, _) in got.items() if n} == set(wanted) and len(got) == len(rows)
+
+
+def test_long_texts_have_the_echoes_of_their_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in (700, 30, 51, 2000, 52)])
+    data, starts = substring_dedup.utf8(text)
+    whole = {d: set(h.tolist()) for d, h in substring_dedup.echo_anchors(data, starts)}
+    assert set(whole) == {0, 2, 3, 4}
+    monkeypatch.setattr(substring_dedup, "ECHO_CHUNK", 60)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 1000)
+    assert {d: set(h.tolist()) for d, h in substring_dedup.echo_anchors(data, starts)} == whole
