@@ -197,24 +197,28 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, hash, c): how often an anchor hash occurs in a document; c is 0 for the anchors of echoes."""
 
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, starts = utf8(batch.column(2))
+        rows, hashes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for d, _, h in document_anchors(data, starts, length):
+            u, c = np.unique(h, return_counts=True)
+            rows.append(np.full(len(u), d))
+            hashes.append(u)
+            counts.append(c)
+        for d, u in echo_anchors(data, starts):
+            rows.append(np.full(len(u), d))
+            hashes.append(u)
+            counts.append(np.zeros(len(u), np.int64))
+        take = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))],
+            names=["doc_id", "th", "hash", "c"],
+        )
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = utf8(batch.column(2))
-            rows, hashes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for d, _, h in document_anchors(data, starts, length):
-                u, c = np.unique(h, return_counts=True)
-                rows.append(np.full(len(u), d))
-                hashes.append(u)
-                counts.append(c)
-            for d, u in echo_anchors(data, starts):
-                rows.append(np.full(len(u), d))
-                hashes.append(u)
-                counts.append(np.zeros(len(u), np.int64))
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))],
-                names=["doc_id", "th", "hash", "c"],
-            )
+            for begin in range(0, batch.num_rows, 1000):
+                yield found(batch.slice(begin, 1000))
 
     return docs.select("doc_id", "th", "text").mapInArrow(work, "doc_id bigint, th bigint, hash bigint, c bigint")
 
@@ -414,7 +418,7 @@ def repeated(
     met = scratch.put(
         "met",
         places.withColumn("echo", echo).join(often, ["hash", "echo"]).groupBy(F.col("doc_id").alias("wid"), F.col("th").alias("wth"))
-        .agg(F.collect_set(F.when(~F.col("echo"), F.col("hash"))).alias("hashes"), F.size(F.collect_set(F.when(F.col("echo"), F.col("hash")))).cast("bigint").alias("n_echoes")),
+        .agg(F.collect_set(F.when(~F.col("echo"), F.col("hash"))).alias("hashes"), F.count_if("echo").alias("n_echoes")),
     )
     wanted = met.where(F.size("hashes") > 0).select("wid", "wth", "hashes")
     echoes = scratch.put("echoes", met.select("wid", "wth", "n_echoes"))
