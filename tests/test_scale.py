@@ -89,6 +89,51 @@ def test_large_detection_is_as_good_as_the_kernel(spark):
     assert all(joined[t] >= 0.95 * kernel[t] for t in kernel)
 
 
+def test_large_detection_sends_labels_between_blocks(spark, monkeypatch):
+    """Rounds read blocks, made once, in place of joins over all edges; several blocks, joins for large vertices and text as ids find communities as good."""
+    rows = planted(90, 4, 0.35, 0.06, 3)
+    edges = spark.createDataFrame(rows, EDGES)
+    nodes = edges.select("layer", F.col("src").alias("node")).union(edges.select("layer", F.col("dst").alias("node"))).distinct()
+    kernel = {r.layer: r.modularity for r in G.modularity(D.detect_layers(nodes, edges, "louvain"), edges).collect()}
+
+    def good(nodes, edges):
+        found = Workspace(spark, "found").put("m", detect_large(nodes, edges, small=0))
+        score = {r.layer: r.modularity for r in G.modularity(found, edges).collect()}
+        return found.count() == nodes.count() and all(score[t] >= 0.9 * kernel[t] for t in kernel)
+
+    with monkeypatch.context() as m:
+        m.setattr(DL, "_survey", None)
+        m.setattr(DL.blocks, "BLOCK_EDGES", 700)
+        assert good(nodes, edges)
+    text = [F.concat(F.lit("n"), F.col(c)).alias(c) for c in ("src", "dst")]
+    assert good(nodes.select("layer", F.concat(F.lit("n"), "node").alias("node")), edges.select("layer", *text, "weight"))
+    monkeypatch.setattr(DL.blocks, "MOST_AROUND", 10)
+    assert good(nodes, edges)
+
+
+def test_blocks_hold_each_edge_once_and_send_labels_where_they_are_read(spark):
+    ends = [(1, 3, 5, 1.0), (1, 5, 3, 1.0), (1, 3, 5, 2.0), (1, 5, 3, 2.0), (1, 5, 8, 1.0), (1, 8, 5, 1.0), (1, 3, 3, 4.0), (1, 8, 99, 1.0), (1, 99, 8, 1.0)]
+    vertices = spark.createDataFrame([(1, a, 1.0) for a in (3, 5, 8, 11)], "layer int, a long, x double")
+    made = DL.blocks.build(spark.createDataFrame(ends, "layer int, a long, b long, w double"), vertices, {1: 3})
+    block, got, sent = {}, {}, {}
+    for r in made.collect():
+        own, _, halo, start, near, w, to_start, to = [np.frombuffer(r[n], t) for n, t in zip(DL.blocks.ARRAYS, DL.blocks.TYPES, strict=True)]
+        for i, a in enumerate(own.tolist()):
+            block[a] = r.block
+            got |= {(a, halo[near[j]]): w[j] for j in range(start[i], start[i + 1])}
+            sent[a] = set(to[to_start[i] : to_start[i + 1]].tolist())
+    assert got == {(3, 5): 3.0, (5, 3): 3.0, (5, 8): 1.0, (8, 5): 1.0, (8, 99): 1.0}
+    assert sent[3] == {block[3], block[5]} and sent[11] == {block[11]} and sent[5] == {block[3], block[5], block[8]}
+
+
+def test_joining_counts_communities_that_nothing_leaves(spark):
+    """Without the strength of the third, 990 of 1000, joining the other two would cost more than the edge between them gives."""
+    apart = spark.createDataFrame([(1, 0, 1, 1.0), (1, 1, 0, 1.0)], "layer int, a long, b long, w double")
+    vertices = spark.createDataFrame([(1, a, k / 1000**0.5) for a, k in ((0, 5.0), (1, 5.0), (9, 990.0))], "layer int, a long, x double")
+    total = spark.createDataFrame([(1, 1000.0)], "layer int, m2 double")
+    assert {r["at"]: r["to"] for r in DL._joined(apart, vertices, total, 1.0, 1).collect()} == {0: 0, 1: 0, 9: 9}
+
+
 def test_large_detection_by_potts_keeps_cliques_apart(spark):
     cliques = [(1, 5 * c + i, 5 * c + j, 1.0) for c in range(12) for i in range(5) for j in range(i + 1, 5)]
     ring = [(1, 5 * c, 5 * ((c + 1) % 12) + 2, 1.0) for c in range(12)]
