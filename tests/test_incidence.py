@@ -57,6 +57,19 @@ def test_no_pair_is_shuffled(spark):
     assert [tuple(r) for r in counts.collect()] == [(1, 7140, 7140)]
 
 
+@pytest.mark.parametrize("run, wide, batch", [(1024, 32, 64), (16, 3, 5)])
+def test_edges_come_in_runs(spark, monkeypatch, run, wide, batch):
+    """Rows of one src stand together, and those of users with the same groups beside one another, so that written columns pack."""
+    for name, value in (("RUN", run), ("WIDE", wide), ("BATCH", batch)):
+        monkeypatch.setattr(I, name, value)
+    incidence = spark.sql("select 1 as layer, g.id as g, n.id as node from range(40) g, range(120) n where g.id < 20 or n.id % 2 = 0")
+    rows = [(r.src, r.dst, r.weight) for r in I.incidence_edges(incidence, ["g"]).collect()]
+    assert sorted(rows) == [(a, b, 20.0 if (a | b) % 2 else 40.0) for a in range(120) for b in range(a + 1, 120)]
+    blocks = -(-120 // run)
+    changes = lambda i: sum(x[i] != y[i] for x, y in zip(rows, rows[1:], strict=False))
+    assert changes(0) < 120 * blocks and changes(2) < 2 * 120 * blocks
+
+
 def test_supra_edges_sum_ties_only(spark):
     edges = spark.createDataFrame([(1, 1, 2, 3.0), (2, 1, 2, 4.0)], "layer int, src long, dst long, weight double")
     ties = spark.createDataFrame([(1, 2, 1, 1.0), (2, 1, 1, 0.5)], "from_layer int, to_layer int, node long, layer_weight double")
