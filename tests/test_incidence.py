@@ -79,6 +79,13 @@ def test_supra_edges_sum_ties_only(spark):
     assert once._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
 
 
+def test_supra_edges_keep_the_runs(spark):
+    incidence = spark.sql("select 1 as layer, g.id as g, n.id as node from range(40) g, range(120) n where g.id < 20 or n.id % 2 = 0")
+    ties = spark.createDataFrame([(1, 2, 1, 1.0)], "from_layer int, to_layer int, node long, layer_weight double")
+    rows = G.supra_edges(I.incidence_edges(incidence, ["g"]), ties, 0.5, once=True).collect()
+    assert len(rows) == 7141 and sum((x.node_a, x.weight) != (y.node_a, y.weight) for x, y in zip(rows, rows[1:], strict=False)) < 3 * 120
+
+
 @pytest.mark.parametrize("directed", [False, True])
 def test_redraw_of_runs_equals_pools_and_sorts_no_pool(spark, monkeypatch, directed):
     rng = random.Random(3)
