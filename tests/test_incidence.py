@@ -99,3 +99,19 @@ def test_redraw_of_runs_equals_pools_and_sorts_no_pool(spark, monkeypatch, direc
     by_runs = sorted(map(tuple, got.collect()))
     monkeypatch.setattr(B, "MOST_RUNS", 0)
     assert by_runs == sorted(map(tuple, draw().collect())) and by_runs
+
+
+@pytest.mark.parametrize("groups, chance, block, words", CASES)
+def test_redraw_of_groups_lists_no_edge(spark, monkeypatch, groups, chance, block, words):
+    monkeypatch.setattr(I, "BLOCK", block)
+    monkeypatch.setattr(I, "MOST_WORDS", words)
+    monkeypatch.setattr(B, "REDRAW_BLOCK", block)
+    incidence, members, want = table(spark, groups, chance)
+    edges = spark.createDataFrame([(*k, w) for k, w in want.items()], "layer int, src long, dst long, weight double")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    with monkeypatch.context() as m:
+        m.setattr(B, "incidence_edges", None)
+        got = rows(B.incidence_redraw(spark, members, incidence, ["g"], 3, 7))
+    assert got == rows(B.redraw(spark, members, edges, members, 3, 7)) and got
+    monkeypatch.setattr(B, "MOST_RUNS", 0)
+    assert got == rows(B.incidence_redraw(spark, members, incidence, ["g"], 3, 7))
