@@ -231,10 +231,23 @@ def test_almost_sure_pairs_are_drawn_by_what_is_missing(spark, monkeypatch, stre
     counts = redraw.stretch_counts(stretches, placed).collect()
     assert sum(r.drawn for r in counts) == len(drawn) and all(r.sound and r.rows == reps and r.low > r.place for r in counts)
     assert {r.inside: sum(q.drawn for q in counts if q.inside == r.inside) for r in counts} == {b: sum(k[3] == b for k in drawn) for b in (True, False)}
+    there = redraw.drawn_stretches(spark, redraw.node_runs(placed, model, False), reps, 3, checked=True)
+    assert "at" not in there.columns and sorted(map(tuple, redraw.stretch_counts(there, placed).collect()), key=str) == sorted(map(tuple, counts), key=str)
     broken = stretches.withColumn("at", F.when(F.size("at") > 0, F.concat("at", F.slice("at", 1, 1))).otherwise(F.col("at")))
     assert not all(r.sound for r in redraw.stretch_counts(broken, placed).collect())
 
 
+def test_stretches_are_checked_by_arrays(spark):
+    """A lambda for every offset took most of the time; what it found is kept."""
+    rows = [(1, 1, 0, True, 0, 9, False, at) for at in ([], [0, 8], [3], [3, 3], [4, 2], [-1, 2], [2, 9], [1, 5, 6])]
+    stretches = spark.createDataFrame([(rep, *r[1:]) for rep, r in enumerate(rows)], "rep int, layer int, place long, same boolean, start long, stop long, dense boolean, at array<int>")
+    placed = spark.createDataFrame([(1, 0, 0, 20)], "layer int, place long, first long, size long")
+    found = {r.rep: (r.size_at, r.sound) for r in redraw._checked(stretches).collect()}
+    assert [found[i] for i in range(8)] == [(0, True), (2, True), (1, True), (2, False), (2, False), (2, False), (2, False), (3, True)]
+    counts = redraw.stretch_counts(stretches, placed)
+    assert "lambda" not in counts._jdf.queryExecution().optimizedPlan().toString() and [r.sound for r in counts.collect()] == [False]
+
+
 def test_walks_land_on_every_place_alike():
     n, length, q = 4000, 50, 0.3
     keys = np.random.default_rng(1).integers(0, 2**63, n).astype(np.uint64)
